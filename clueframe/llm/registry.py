@@ -6,6 +6,8 @@ from importlib import import_module
 
 _MODULES = (
     "quality_rules",
+    "decontaminate",
+    "near_dedup",
 )
 
 QUERIES: dict = {}
