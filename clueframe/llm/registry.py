@@ -8,6 +8,7 @@ _MODULES = (
     "quality_rules",
     "decontaminate",
     "near_dedup",
+    "kneser_ney",
 )
 
 QUERIES: dict = {}
