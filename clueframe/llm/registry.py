@@ -9,6 +9,7 @@ _MODULES = (
     "decontaminate",
     "near_dedup",
     "kneser_ney",
+    "token_output",
 )
 
 QUERIES: dict = {}
