@@ -114,8 +114,11 @@ class Words:
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b - 1, folded, with single spaces between them."""
-        data = LOWER[self.data] if self.fold else self.data
-        return b" ".join(data[s:e].tobytes() for s, e in zip(self.starts[a:b], self.ends[a:b]))
+        if a >= b:
+            return b""
+        words = (self.data[s:e].tobytes() for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist()))
+        text = b" ".join(words)
+        return text.lower() if self.fold else text
 
 
 @lru_cache(maxsize=2)
