@@ -10,6 +10,7 @@ _MODULES = (
     "near_dedup",
     "kneser_ney",
     "token_output",
+    "ordinal_quality",
 )
 
 QUERIES: dict = {}
