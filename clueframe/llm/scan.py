@@ -100,8 +100,8 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word (or of its ``first`` bytes), the same in every process."""
         n = len(self.data)
         if not len(self.starts):
             return np.zeros(0, np.uint64)
@@ -110,7 +110,8 @@ class Words:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum(table[self.data] * up[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * down[self.starts])
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
+        return mix((total[ends] - total[self.starts]) * down[self.starts])
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b - 1, folded, with single spaces between them."""
@@ -157,3 +158,16 @@ def scanned(column, is_word: np.ndarray, fold: bool = True, budget: int = PIECE)
     data, offsets = text_buffer(column)
     for a, b in pieces(offsets, budget):
         yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], is_word, fold)
+
+
+def gathered(batches, column: int, budget: int):
+    """A column's batches, small ones put together to about ``budget`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column(column))
+        size += held[-1].nbytes
+        if size >= budget:
+            yield pa.chunked_array(held)
+            held, size = [], 0
+    if held:
+        yield pa.chunked_array(held)
