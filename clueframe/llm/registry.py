@@ -11,6 +11,7 @@ _MODULES = (
     "kneser_ney",
     "token_output",
     "ordinal_quality",
+    "soft_mixing",
 )
 
 QUERIES: dict = {}
