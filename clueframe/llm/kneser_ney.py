@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import scan
 from .shared import fresh, mapped, put, stored
 
-PIECE = 4 << 20
+PIECE = 8 << 20
 END = np.uint64(0xE4D0_0000_0000_0001)
 START = np.uint64(0xFFFF_FFFF)
 _32 = np.uint64(32)
@@ -218,8 +218,8 @@ def _merge_words(folder: str):
 def _word_counts(bits: int):
     def run(batches):
         edges = np.arange((1 << bits) + 1, dtype=np.uint64)
-        for batch in batches:
-            for _, _, w in scan.scanned(batch.column(0), scan.NOT_SPACE, budget=PIECE):
+        for column in scan.gathered(batches, 0, PIECE):
+            for _, _, w in scan.scanned(column, scan.NOT_SPACE, budget=PIECE):
                 keys, counts = _counted(_tokens(w)[0])
                 yield _rows([*_cut(keys, counts, np.searchsorted(keys >> np.uint64(64 - bits), edges))])
 
@@ -243,8 +243,8 @@ def _pair_keys(rank: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 def _pair_counts(model: Model, buckets: int):
     def run(batches):
-        for batch in batches:
-            for _, _, w in scan.scanned(batch.column(0), scan.NOT_SPACE, budget=PIECE):
+        for column in scan.gathered(batches, 0, PIECE):
+            for _, _, w in scan.scanned(column, scan.NOT_SPACE, budget=PIECE):
                 tokens, heads = _tokens(w)
                 keys, counts = _counted(_pair_keys(_ranked(model, tokens)[0], heads))
                 yield _rows([*_cut(keys, counts, np.searchsorted(model.bucket(keys, buckets), np.arange(buckets + 1)))])
@@ -319,15 +319,15 @@ def _sorted(df: DataFrame, buckets: int) -> DataFrame:
 
 
 class _batches:
-    """Rows that hold arrays go to Python a few at a time."""
+    """Rows that hold arrays go to Python some megabytes at a time."""
 
-    def __init__(self, spark: SparkSession, rows: int = 16):
-        self.spark, self.rows = spark, rows
+    def __init__(self, spark: SparkSession, size: int = 16 << 20):
+        self.spark, self.size = spark, size
 
     def __enter__(self):
-        self.key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        self.key = "spark.sql.execution.arrow.maxBytesPerBatch"
         self.old = self.spark.conf.get(self.key)
-        self.spark.conf.set(self.key, str(self.rows))
+        self.spark.conf.set(self.key, str(self.size))
 
     def __exit__(self, *_):
         self.spark.conf.set(self.key, self.old)
