@@ -12,6 +12,7 @@ _MODULES = (
     "token_output",
     "ordinal_quality",
     "soft_mixing",
+    "language_id",
 )
 
 QUERIES: dict = {}
