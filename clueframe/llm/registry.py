@@ -13,6 +13,8 @@ _MODULES = (
     "ordinal_quality",
     "soft_mixing",
     "language_id",
+    "line_dedup",
+    "warc",
 )
 
 QUERIES: dict = {}
