@@ -10,11 +10,12 @@ linked where ``100 * |intersection| >= percent * |union|``.
 2. ``BANDS`` bands of ``ROWS`` universal-hash minima bucket the classes.  At a
    similarity of 0.8 a pair shares no bucket with probability (1 - 0.8^5)^40 = 1e-7.
 3. In each bucket every class is paired with the least one.  A pair goes on if the
-   sizes allow it and the signatures agree well enough (``LEAST_AGREE`` of 200, over six
-   standard deviations below 0.8), and is a link if the full sets confirm it.
+   sizes allow it and the signatures agree well enough (``LEAST_AGREE`` of 200, over five
+   standard deviations below what 0.8 gives), and is a link if the full sets confirm it.
 4. Connected components come from alternating large-star and small-star.
 5. Buckets that still hold several components are compared in blocks of at most
-   ``BLOCK`` members, across components only; confirmed links join the components.
+   ``BLOCK`` members, across components only, a pair in the first bucket it shares.
+   Members with a likely partner are sent their full sets; confirmed links join components.
 
 So no group is expanded into pairs, and each pair that shares a bucket is either
 confirmed, refused, or already in one component.
@@ -41,7 +42,7 @@ from .shared import stored
 
 PERCENT = 80
 BANDS, ROWS = 40, 5
-LEAST_AGREE = 110
+LEAST_AGREE = 130
 BLOCK = 2048
 #: Ids (8 bytes each) that a broadcast side may hold; beyond it both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -165,59 +166,96 @@ def _confirmed(percent: int):
             keep = []
             for p, q in zip(x, y):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+                common = _common(p, q)
+                keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(percent: int):
-    """From rows (bucket, part, side, rep, comp, n, signature) sorted by bucket, part: pairs of different components.
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    both = np.concatenate([p, q])
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _groups(batches, size: int):
+    """Runs of rows with equal first two columns, as lists of columns without these; ``batches`` is sorted by them."""
+    key, held = None, [[] for _ in range(size)]
+    for batch in batches:
+        rows = [c.to_pylist() for c in batch.columns]
+        for i, k in enumerate(zip(rows[0], rows[1])):
+            if k != key:
+                if held[0]:
+                    yield key, held
+                key, held = k, [[] for _ in range(size)]
+            for h, c in zip(held, rows[2:]):
+                h.append(c[i])
+    if held[0]:
+        yield key, held
+
+
+class _Part:
+    """Members of a bucket's block, or of two blocks (side 0 and side 1), and which of them may be linked."""
+
+    def __init__(self, percent: int, side, rep, comp, n, signature, bands):
+        self.percent, self.side, self.rep, self.comp, self.n = percent, np.array(side), np.array(rep), np.array(comp), np.array(n)
+        self.signature = np.frombuffer(b"".join(signature), np.uint8).reshape(-1, BANDS * ROWS)
+        self.bands = np.array(bands)
+        self.two = bool(self.side.any())
+
+    def near(self, i: int, bucket: int) -> np.ndarray:
+        """Of other components, those that may be linked to i and share no earlier bucket with it."""
+        rest = (self.side == 1) if self.two else (np.arange(len(self.rep)) > i)
+        rest &= (self.comp != self.comp[i]) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
+        rest = np.flatnonzero(rest)
+        if len(rest):
+            rest = rest[(self.signature[rest] == self.signature[i]).sum(axis=1) >= LEAST_AGREE]
+        if len(rest):
+            band = int(np.flatnonzero(self.bands[i] == bucket)[0])
+            rest = rest[~(self.bands[rest, :band] == self.bands[i, :band]).any(axis=1)]
+        return rest
+
+
+def _asking(percent: int):
+    """(bucket, part, rep) of the members that may be linked to one of another component."""
 
-    Side 0 and side 1 are the two blocks of a part; a part of one block has side 0 only.
-    """
+    def run(batches):
+        for (bucket, part), columns in _groups(batches, 6):
+            x = _Part(percent, *columns)
+            asked = np.zeros(len(x.rep), bool)
+            for i in np.flatnonzero(x.side == 0):
+                near = x.near(i, bucket)
+                asked[near] = True
+                asked[i] |= len(near) > 0
+            reps = x.rep[asked]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), bucket)), pa.array(np.full(len(reps), part)), pa.array(x.side[asked]), pa.array(reps)], schema=_ASKED_ARROW)
 
-    def compare(rows):
-        rep, comp, n, side, sig = rows
-        sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, BANDS * ROWS)
-        two = side.any()
-        for i in np.flatnonzero(side == 0):
-            rest = (side == 1) if two else (np.arange(len(rep)) > i)
-            rest = np.flatnonzero(rest & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-            if len(rest):
-                rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= LEAST_AGREE]
-                for j in rest:
-                    yield min(rep[i], rep[j]), max(rep[i], rep[j])
+    return run
 
-    def run(batches):
-        key, held = None, []
 
-        def flush():
-            if held:
-                cols = list(zip(*held))
-                yield from compare((np.array(cols[0]), np.array(cols[1]), np.array(cols[2]), np.array(cols[3]), cols[4]))
+_ASKED = "bucket long, part long, side int, rep long"
+_ASKED_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("side", pa.int32()), ("rep", pa.int64())])
 
-        out: list = []
-        for batch in batches:
-            for k, p, side, rep, comp, n, sig in zip(*(c.to_pylist() for c in batch.columns)):
-                if (k, p) != key:
-                    out += flush()
-                    key, held = (k, p), []
-                held.append((rep, comp, n, side, sig))
-                if len(out) > 50_000:
-                    yield _pairs(out)
-                    out = []
-        out += flush()
-        yield _pairs(out)
 
-    return run
+def _joining(percent: int):
+    """Confirmed links between components within each part, each link joining two that none before it has joined."""
 
+    def run(batches):
+        for (bucket, _), columns in _groups(batches, 7):
+            sets = [np.frombuffer(v, np.uint64) for v in columns.pop()]
+            x = _Part(percent, *columns)
+            out = []
+            for i in np.flatnonzero(x.side == 0):
+                for j in x.near(i, bucket):
+                    if x.comp[i] != x.comp[j]:
+                        c = _common(sets[i], sets[j])
+                        if 100 * c >= percent * (len(sets[i]) + len(sets[j]) - c):
+                            out.append((x.rep[i], x.rep[j]))
+                            x.comp[x.comp == x.comp[j]] = x.comp[i]
+            yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-def _pairs(out):
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+    return run
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -240,13 +278,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, t
     shared = rows.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("m")).where("m > 1")
     members = stored(rows.join(shared, "bucket").where("rep <> center"), "members")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = small(stored(ids.distinct(), "asked"))
+        return stored(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         two = known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
         near = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agreeing(percent), "a long, b long"), "near")
-        asked = small(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        sets = texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set binary")
-        sets = stored(sets, "sets")
+        sets = sets_of(near.select(F.col("a").alias("doc_id")).union(near.select("b")))
         both = near.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
         return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
@@ -259,17 +299,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, t
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")
     parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(mine > o, 1).otherwise(0).alias("side")))
-    dealt = (
-        placed.join(mixed, "bucket")
-        .select("bucket", "rep", "comp", F.explode(parts).alias("p"))
-        .join(known, "rep")
-        .select("bucket", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "rep", "comp", "n", "signature")
-    )
-    across = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_across(percent), "a long, b long").distinct()
-    across = stored(across, "across")
-    if across.limit(1).count():
-        more = stored(confirmed(across), "links")
-        comps = connected(links.union(more))
+    known = known.join(classes.select("rep", "bands"), "rep")
+    parts = placed.join(mixed, "bucket").select("bucket", "rep", "comp", F.explode(parts).alias("p"))
+    parts = stored(parts.select("bucket", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "rep", "comp"), "parts")
+    full = ["bucket", "part", "side", "rep", "comp", "n", "signature", "bands"]
+    sides = lambda x: x.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    asking = stored(sides(parts.join(known, "rep").select(*full)).mapInArrow(_asking(percent), _ASKED), "asking")
+    if asking.limit(1).count():
+        sets = sets_of(asking.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
+        asked = parts.join(asking, ["bucket", "part", "side", "rep"], "left_semi").join(known, "rep").join(sets, "rep")
+        more = stored(sides(asked.select(*full, "set")).mapInArrow(_joining(percent), "a long, b long").distinct(), "links")
+        if more.limit(1).count():
+            comps = connected(links.union(more))
 
     found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").where("rows > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
