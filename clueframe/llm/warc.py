@@ -301,7 +301,7 @@ def write_warc(records: DataFrame, path: str) -> list[str]:
 def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     made = derive(responses_from_pages(pages, ("page_id",)), ("page_id",))
-    return made.select("page_id", "record_id", "type", "target_uri", "date", "refers_to", "content_type", "block_digest", "payload_digest", F.length("block").cast("long").alias("n_bytes"), F.decode("block", F.lit("UTF-8")).alias("block"))
+    return made.select("page_id", "record_id", "type", "target_uri", "date", "refers_to", "content_type", "block_digest", "payload_digest", F.length("block").cast("long").alias("n_bytes"), F.decode("block", "UTF-8").alias("block"))
 
 
 QUERIES = {"op2_warc_derivatives": op2_warc_derivatives}
