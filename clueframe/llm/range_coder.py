@@ -32,49 +32,69 @@ _LOW = np.uint64((1 << 32) - 1)
 
 
 class _State:
-    """The models of some blocks, side by side."""
+    """The models of some blocks, side by side.
+
+    A slot of a table is id * 4 + confidence; a set of mixing frequencies is three 16-bit
+    fields of one word: order 2 is right, order 1 is right, neither.
+    """
 
     def __init__(self, lanes: int):
-        self.lane2 = np.arange(lanes) << _SLOTS2
-        self.lane1 = np.arange(lanes) << _SLOTS1
-        self.lane0 = np.arange(lanes) * 256
-        self.lane_c = np.arange(lanes) * 257
-        self.lane_m = np.arange(lanes) * 96
-        self.id2, self.sure2 = np.zeros(lanes << _SLOTS2, np.uint16), np.zeros(lanes << _SLOTS2, np.uint8)
-        self.id1, self.sure1 = np.zeros(lanes << _SLOTS1, np.uint16), np.zeros(lanes << _SLOTS1, np.uint8)
-        start = np.tile(np.array([4, 2, 10], np.int64), 32)
-        self.mixing = np.tile(start, lanes)
-        self.order0 = np.ones((lanes, 256), np.int64)
-        self.cumulative = np.zeros((lanes, 257), np.int64)
-        self.one = np.zeros(lanes, np.int64)
-        self.two = np.zeros(lanes, np.int64)
+        self.lane2 = np.arange(lanes, dtype=np.int32) << _SLOTS2
+        self.lane1 = np.arange(lanes, dtype=np.int32) << _SLOTS1
+        self.lane0 = np.arange(lanes, dtype=np.int32) << 8
+        self.lane_c = np.arange(lanes, dtype=np.int32) * 257
+        self.lane_m = np.arange(lanes, dtype=np.int32) << 5
+        self.table2 = np.zeros(lanes << _SLOTS2, np.int32)
+        self.table1 = np.zeros(lanes << _SLOTS1, np.int32)
+        self.mixing = np.full(lanes << 5, 4 | 2 << 16 | 10 << 32, np.int64)
+        self.order0 = np.ones((lanes, 256), np.int32)
+        self.cumulative = np.zeros((lanes, 257), np.int32)
+        self.flat0, self.flat_c = self.order0.reshape(-1), self.cumulative.reshape(-1)
+        self.one = np.zeros(lanes, np.int32)
+        self.two = np.zeros(lanes, np.int32)
         self.refresh()
 
     def refresh(self) -> None:
         np.cumsum(self.order0, axis=1, out=self.cumulative[:, 1:])
-        m = self.mixing.reshape(-1, 3)
-        full = m.sum(axis=1) > 4000
-        m[full] = (m[full] + 1) >> 1
+        m = self.mixing
+        full = np.flatnonzero((m & _FIELD) + (m >> 16 & _FIELD) + (m >> 32) > 4000)
+        if len(full):
+            x = m[full]
+            m[full] = ((x & _FIELD) + 1 >> 1) | ((x >> 16 & _FIELD) + 1 >> 1) << 16 | ((x >> 32) + 1 >> 1) << 32
 
     def predict(self, n: int):
-        self.slot2 = self.lane2[:n] + (((self.two[:n] * 40503 + self.one[:n] * 2654435761) >> 9) & ((1 << _SLOTS2) - 1))
-        self.slot1 = self.lane1[:n] + (((self.one[:n] * 2654435761) >> 11) & ((1 << _SLOTS1) - 1))
-        self.p2, self.p1 = self.id2[self.slot2], self.id1[self.slot1]
-        self.c2, self.c1 = self.sure2[self.slot2], self.sure1[self.slot1]
-        self.at = self.lane_m[:n] + 3 * (self.c2 * 8 + self.c1 * 2 + (self.p2 == self.p1)).astype(np.int64)
-        f2, f1, f0 = self.mixing[self.at], self.mixing[self.at + 1], self.mixing[self.at + 2]
-        return f2, f1, f0
-
-    def learn(self, n: int, ids: np.ndarray, event: np.ndarray) -> None:
-        self.mixing[self.at + event] += 24
-        for table, sure, slot, p, c in ((self.id2, self.sure2, self.slot2, self.p2, self.c2), (self.id1, self.sure1, self.slot1, self.p1, self.c1)):
-            right = p == ids
-            sure[slot] = np.where(right, np.minimum(c + 1, 3), np.maximum(c, 1) - 1)
-            table[slot] = np.where(right | (c > 0), p, ids)
+        """The ids that order 2 and order 1 predict, and the frequencies of the three events."""
+        one = self.one[:n]
+        h = one * _HASH
+        self.slot1 = (h >> 11 & ((1 << _SLOTS1) - 1)) + self.lane1[:n]
+        self.slot2 = ((h + self.two[:n]) * _HASH >> 9 & ((1 << _SLOTS2) - 1)) + self.lane2[:n]
+        self.e2, self.e1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
+        p2, p1 = self.e2 >> 2, self.e1 >> 2
+        self.at = ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (p2 == p1)) + self.lane_m[:n]
+        self.mix = self.mixing.take(self.at)
+        return p2, p1, self.mix & _FIELD, self.mix >> 16 & _FIELD, self.mix >> 32
+
+    def learn(self, n: int, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, event: np.ndarray) -> None:
+        self.mixing[self.at] = self.mix + _ADD.take(event)
+        fresh = ids << 2
+        for table, slot, e, right in ((self.table2, self.slot2, self.e2, right2), (self.table1, self.slot1, self.e1, right1)):
+            sure = e & 3
+            table[slot] = np.where(right, e + (sure < 3), np.where(sure > 0, e - 1, fresh))
         self.two[:n] = self.one[:n]
         self.one[:n] = ids
 
 
+_FIELD = np.int64(0xFFFF)
+_HASH = np.int32(0x2F0B4C47)
+_ADD = np.array([24, 24 << 16, 24 << 32], np.int64)
+
+
+def _split(f2, f1, right2, right1):
+    """Where an event begins among the three, its size, and its number."""
+    event = np.where(right2, 0, np.where(right1, 1, 2))
+    return event, np.where(right2, 0, np.where(right1, f2, f2 + f1))
+
+
 def _normal(low, rng):
     """Lanes that put out 16 bits now, or None."""
     out = (low ^ (low + rng)) < _TOP
@@ -87,7 +107,7 @@ def _normal(low, rng):
 
 def _lanes(ids: np.ndarray):
     n = -(-len(ids) // BLOCK)
-    grid = np.zeros(n * BLOCK, np.int64)
+    grid = np.zeros(n * BLOCK, np.int32)
     grid[: len(ids)] = ids
     return n, np.ascontiguousarray(grid.reshape(n, BLOCK).T), len(ids) - (n - 1) * BLOCK
 
@@ -115,32 +135,30 @@ def encode(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
     for t in range(min(BLOCK, len(ids)) if lanes == 1 else BLOCK):
         n = lanes if t < tail else lanes - 1
         x = grid[t, :n]
-        f2, f1, f0 = s.predict(n)
-        event = np.where(s.p2 == x, 0, np.where(s.p1 == x, 1, 2))
-        cum = np.where(event == 0, 0, np.where(event == 1, f2, f2 + f1)).astype(np.uint64)
-        freq = np.where(event == 0, f2, np.where(event == 1, f1, f0)).astype(np.uint64)
+        p2, p1, f2, f1, f0 = s.predict(n)
+        right2, right1 = p2 == x, p1 == x
+        event, begin = _split(f2, f1, right2, right1)
+        size = np.where(right2, f2, np.where(right1, f1, f0))
         l, r = low[:n], rng[:n]
-        part = r // (f2 + f1 + f0).astype(np.uint64)
-        l += part * cum
-        np.multiply(part, freq, out=r)
+        part = r // (f2 + f1 + f0).view(np.uint64)
+        l += part * begin.view(np.uint64)
+        np.multiply(part, size.view(np.uint64), out=r)
         put(l, r, None)
         e = np.flatnonzero(event == 2)
         if len(e):
             y = x[e]
             hi = y >> 8
-            at = s.lane_c[e] + hi
-            c = s.cumulative.reshape(-1)
-            begin, end = c[at], c[at + 1]
-            total = c[s.lane_c[e] + 256]
-            width = end - begin
+            base = s.lane_c[e]
+            begin = s.flat_c.take(base + hi)
+            width = (s.flat_c.take(base + hi + 1) - begin).astype(np.uint64)
             l, r = low[e], rng[e]
-            part = r // (total << 8).astype(np.uint64)
-            l += part * ((begin << 8) + width * (y & 255)).astype(np.uint64)
-            r = part * width.astype(np.uint64)
+            part = (r >> np.uint64(8)) // s.flat_c.take(base + 256).astype(np.uint64)
+            l += part * ((begin.astype(np.uint64) << np.uint64(8)) + width * (y & 255).astype(np.uint64))
+            r = part * width
             put(l, r, e)
             low[e], rng[e] = l, r
-            s.order0.reshape(-1)[s.lane0[e] + hi] += 8
-        s.learn(n, x, event)
+            s.flat0[s.lane0[e] + hi] += 8
+        s.learn(n, x, right2, right1, event)
         if t % REFRESH == REFRESH - 1:
             s.refresh()
     for k in range(4):
@@ -168,7 +186,7 @@ def decode(blocks: list, sizes: list[int], checks: list[int]) -> np.ndarray:
         code = (code << _16) | code_in[:, k]
     pos = np.full(lanes, 4)
     steps, tail = max(sizes), sizes[-1]
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
 
     def take(low, rng, code, which):
         while (m := _normal(low, rng)) is not None:
@@ -180,41 +198,42 @@ def decode(blocks: list, sizes: list[int], checks: list[int]) -> np.ndarray:
 
     for t in range(steps):
         n = lanes if t < tail else lanes - 1
-        f2, f1, f0 = s.predict(n)
+        p2, p1, f2, f1, f0 = s.predict(n)
         l, r, c = low[:n], rng[:n], code[:n]
-        part = r // (f2 + f1 + f0).astype(np.uint64)
-        v = ((c - l) // part).astype(np.int64)
-        event = np.where(v < f2, 0, np.where(v < f2 + f1, 1, 2))
-        cum = np.where(event == 0, 0, np.where(event == 1, f2, f2 + f1)).astype(np.uint64)
-        freq = np.where(event == 0, f2, np.where(event == 1, f1, f0)).astype(np.uint64)
-        l += part * cum
-        np.multiply(part, freq, out=r)
+        part = r // (f2 + f1 + f0).view(np.uint64)
+        v = ((c - l) // part).view(np.int64)
+        right2 = v < f2
+        right1 = ~right2 & (v < f2 + f1)
+        event, begin = _split(f2, f1, right2, right1)
+        size = np.where(right2, f2, np.where(right1, f1, f0))
+        l += part * begin.view(np.uint64)
+        np.multiply(part, size.view(np.uint64), out=r)
         take(l, r, c, None)
-        x = np.where(event == 0, s.p2, s.p1).astype(np.int64)
+        x = np.where(right2, p2, p1)
         e = np.flatnonzero(event == 2)
         if len(e):
-            table = s.cumulative.reshape(-1)
             base = s.lane_c[e]
-            total = table[base + 256]
+            total = s.flat_c.take(base + 256).astype(np.uint64)
             l, r, c = low[e], rng[e], code[e]
-            part = r // (total << 8).astype(np.uint64)
-            v = ((c - l) // part).astype(np.int64).clip(max=(total << 8) - 1)
-            want = v >> 8
-            hi = np.zeros(len(e), np.int64)
+            part = (r >> np.uint64(8)) // total
+            v = np.minimum((c - l) // part, (total << np.uint64(8)) - np.uint64(1)).view(np.int64)
+            want = (v >> 8).astype(np.int32)
+            at = base.copy()
             for step in (128, 64, 32, 16, 8, 4, 2, 1):  # the last entry not over what is wanted
-                up = hi + step
-                hi = np.where(table[base + up] <= want, up, hi)
-            begin, end = table[base + hi], table[base + hi + 1]
-            width = end - begin
-            y = ((v - (begin << 8)) // width).clip(max=255)
-            l += part * ((begin << 8) + width * y).astype(np.uint64)
-            r = part * width.astype(np.uint64)
+                at += step * (s.flat_c.take(at + step) <= want)
+            hi = at - base
+            begin = s.flat_c.take(at)
+            width = (s.flat_c.take(at + 1) - begin).astype(np.int64)
+            begin = begin.astype(np.int64) << 8
+            y = np.minimum((v - begin) // width, 255)
+            l += part * (begin + width * y).view(np.uint64)
+            r = part * width.view(np.uint64)
             take(l, r, c, e)
             low[e], rng[e], code[e] = l, r, c
             x[e] = (hi << 8) | y
-            s.order0.reshape(-1)[s.lane0[e] + hi] += 8
+            s.flat0[s.lane0[e] + hi] += 8
         grid[t, :n] = x
-        s.learn(n, x, event)
+        s.learn(n, x, p2 == x, p1 == x, event)
         if t % REFRESH == REFRESH - 1:
             s.refresh()
     ids = np.ascontiguousarray(grid.T).reshape(-1)[: sum(sizes)].astype(np.uint32)

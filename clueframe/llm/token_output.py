@@ -32,8 +32,9 @@ from .shared import fresh
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-SEGMENT_IDS = 2_000_000
-_MOST_PARTS = 1_500_000
+SEGMENT_IDS = 6_000_000
+_MOST_PARTS = 2_500_000
+_PIECE = 4 << 20
 _SEPARATOR = "<|startoftext|>"
 
 _SEGMENTS = "shard int, segment int, start long, n_docs long, n_tokens long, payload binary"
@@ -102,7 +103,7 @@ class Encoder:
 
     def rows(self, column, end_id: int):
         """(ids of some rows with an end after each, lengths of these rows) over a column."""
-        for _, _, w in scan.scanned(column, scan.NOT_SPACE, fold=False):
+        for _, _, w in scan.scanned(column, scan.NOT_SPACE, fold=False, budget=_PIECE):
             n = len(w.offsets) - 1
             if not self.by_part:
                 texts = [w.data[a:b].tobytes().decode() for a, b in zip(w.offsets[:-1], w.offsets[1:])]
