@@ -12,7 +12,8 @@ The posterior of language l for a page is, up to a constant, the product of
   pseudo-counts.  A page's own posterior is taken out of its host's counts.
 
 All counts are grouped aggregates with partial sums, so a host or suffix that holds a
-third of all pages is a few rows by the time it is shuffled.
+third of all pages is a few rows by the time it is shuffled; the sums are then sent to all
+tasks if they are few (a checked number), so that such a host's pages stay where they are.
 
 A page without text has a flat likelihood; a missing declaration, address or host gives
 no evidence of its kind.  Without labelled texts there are no languages, and the result is
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
+from .near_dedup import small
 from .shared import stored
 
 SAMPLE = 4000
@@ -144,8 +146,8 @@ def identify(rows: DataFrame, model: Trigrams, keep: tuple[str, ...]) -> DataFra
     hosts = x.where("__host is not null").groupBy("__host", "__domain").agg(*sums()).select("__host", "__domain", vector("at_host"))
     domains = hosts.groupBy("__domain").agg(*(F.sum(F.col("at_host")[i]).alias(f"s{i}") for i in range(k))).select("__domain", vector("at_domain"))
     # A page's own share is in the sums of its host and domain: it is taken out of both.
-    prior = hosts.join(domains, "__domain").select("__host", "at_host", "at_domain")
-    full = x.join(prior, "__host", "left").join(given("__declared"), "__declared", "left").join(given("__suffix"), "__suffix", "left")
+    prior = small(stored(hosts.join(domains, "__domain").select("__host", "at_host", "at_domain"), "hosts"))
+    full = x.join(prior, "__host", "left").join(small(given("__declared")), "__declared", "left").join(small(given("__suffix")), "__suffix", "left")
     zero = F.array(*[F.lit(0.0)] * k)
     less = lambda name: F.transform(F.zip_with(F.coalesce(name, zero), F.when(F.col(name).isNotNull(), F.col("p")).otherwise(zero), lambda a, b: a - b), lambda v: F.greatest(v, F.lit(0.0)))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
