@@ -125,7 +125,7 @@ def diff_pairs(spark, d):
 
 
 @query(f"""WITH {_CLUES}, p AS (SELECT {_CODE('n_nationkey')} AS a, {_CODE('n_nationkey * 7 + 3')} AS b, {_NAME('n_nationkey')} AS na, {_NAME('n_nationkey * 7 + 3')} AS nb FROM nation),
-f AS (SELECT a, b, 0 AS side, pos, text FROM p JOIN clues ON code = a WHERE contains(lower(text), nb) UNION ALL SELECT a, b, 1, pos, text FROM p JOIN clues ON code = b WHERE contains(lower(text), na))
+f AS (SELECT a, b, 0 AS side, pos, text FROM p JOIN clues ON code = a WHERE contains(lower(text), nb) UNION ALL SELECT a, b, 1, pos, text FROM p JOIN clues ON code = b WHERE contains(lower(text), na)),
 t AS (SELECT code, arg_min(text, pos) AS text FROM clues WHERE {_CATEGORY} = 'identifying' GROUP BY code), o AS (SELECT a, b FROM p EXCEPT SELECT a, b FROM f)
 SELECT a, b, n::INT AS n, md5(text) AS tip FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY side, pos) AS n FROM f) WHERE n <= 10
 UNION ALL SELECT a, b, 1, md5(text) FROM o JOIN t ON code = a UNION ALL SELECT a, b, 2, md5(text) FROM o JOIN t ON code = b""")
