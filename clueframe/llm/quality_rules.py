@@ -96,7 +96,9 @@ def measured(df: DataFrame, text: str = "text", into: str = "measures") -> DataF
             "struct(-3 as last, 0L as total), (a, i) -> struct(i as last, a.total + least(3, i - a.last) as total), a -> a.total)"
         ).alias(own + "n_repeat_words"),
     )
-    return x.select(*names, F.struct(*(F.col(own + m).alias(m) for m in _MEASURES)).alias(into))
+    # A filter on the result must not be pushed below: it would evaluate the array steps again, one inside another.
+    here = F.monotonically_increasing_id() >= 0
+    return x.select(*names, F.when(here, F.struct(*(F.col(own + m).alias(m) for m in _MEASURES))).alias(into))
 
 
 def verdict(rules: Sequence[Rule], measures: str = "measures") -> tuple[Column, Column]:
