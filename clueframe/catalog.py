@@ -33,9 +33,10 @@ def _pick(items, index) -> F.Column:
     return F.get(F.array(*(F.lit(x) for x in items)), F.pmod(index, F.lit(len(items))).cast("int"))
 
 
-def guides(spark: SparkSession, d: str) -> DataFrame:
-    """A guide for each nation: one clue for each of its documents, in order of doc_id."""
-    docs = _read(spark, d, "documents").select(F.pmod("doc_id", F.lit(25)).cast("int").alias("k"), "doc_id", "text", "lang", "source")
+def guides(spark: SparkSession, d: str, clues: DataFrame | None = None) -> DataFrame:
+    """A guide for each nation: one clue for each of its documents (or other rows with these columns), in order of doc_id."""
+    docs = _read(spark, d, "documents") if clues is None else clues
+    docs = docs.select(F.pmod("doc_id", F.lit(25)).cast("int").alias("k"), "doc_id", "text", "lang", "source")
     section = F.concat(_pick(["Identifying ", "Regional ", "Spotlight ", "More "], F.crc32("source")), "source")
     clue = F.struct("doc_id", section.alias("section"), knowledge.category(section).alias("category"), F.array("lang").alias("tags"), "text", F.lit(None).cast("string").alias("image_url"))
     clues = docs.groupBy("k").agg(F.sort_array(F.collect_list(clue)).alias("c"))
@@ -270,12 +271,13 @@ def multiplicative_score(spark, d):
 
 @query()
 def clue_scores(spark, d):
-    """Conversations as observations: the words of a conversation's turns are its clues."""
+    """Conversations as observations, their turns as clues; the guides are those of the benchmark's items."""
     c = _read(spark, d, "conversations").where("text IS NOT NULL")
-    obs = c.groupBy(F.col("conv_id").alias("obs_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(80)).alias("t")))), lambda x: x["t"]).alias("clues"))
+    obs = c.groupBy(F.col("conv_id").alias("obs_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("clues"))
     obs = obs.select("obs_id", F.lit(None).cast("string").alias("driving_side"), F.lit(None).cast("string").alias("continent"), "clues", F.array(F.lit("white road lines")).alias("cv_clues"), F.from_json(F.lit("{}"), clue_scorer.PARAMS).alias("params"))
     kinds = official(spark, d).select("id", "title", "description", F.col("countryCode").alias("code"), F.col("type").alias("kind"))
-    return clue_scorer.score_clues(obs, knowledge_base.countries(guides(spark, d)), kinds).select("obs_id", "rank", "code", "title", "region", "score", "confidence", "reasons", "official_ids")
+    items = _read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text", F.lit("item").alias("lang"), F.lit("items").alias("source"))
+    return clue_scorer.score_clues(obs, knowledge_base.countries(guides(spark, d, items)), kinds).select("obs_id", "rank", "code", "title", "region", "score", "confidence", "reasons", "official_ids")
 
 
 _ROUNDS = f"r AS (SELECT event_id, {_CODE('event_id')} AS true_code, {_CODE('event_id * 7 + user_id')} AS predicted_code, event_type, value, user_id FROM events)"
@@ -450,7 +452,8 @@ def synthetic_images(spark: SparkSession, d: str) -> DataFrame:
         for batch in batches:
             out = []
             for e in batch.column(1).to_pylist():
-                c = (np.abs(np.array(e[:24]) * 900) % 256).astype(np.uint8).reshape(8, 3)
+                e = np.array(e).reshape(8, 8)
+                c = (np.abs(np.stack([e[:, :3].sum(1), e[:, 3:6].sum(1), e[:, 6:].sum(1)], axis=1) * 900) % 256).astype(np.uint8)
                 rows = np.repeat(c, [60, 60, 30, 30, 60, 60, 60, 40], axis=0)
                 x = np.repeat(rows[:, None, :], 800, axis=1).copy()
                 x[260:360, 390:410] = (40, 200, 220)
