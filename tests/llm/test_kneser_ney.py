@@ -34,14 +34,15 @@ def brute(train, texts):
     cut = lambda c, d: max(c - d[min(c, 3) - 1], 0) if c else 0
     free = lambda xs, d: sum(d[min(x, 3) - 1] for x in xs)
     types = len(pairs)
+    low, high = free(t.values(), d1), {a: free(xs, d2) for a, xs in follow.items()}
     out = []
     for text in texts:
         before, score, base, known = "<s>", 0.0, 0.0, 0
         ts = tokens(text)
         for x in ts:
-            p = (free(t.values(), d1) / types if types else 1.0) / (v + 1) + (cut(t[x], d1) / types if types else 0)
+            p = (low / types if types else 1.0) / (v + 1) + (cut(t[x], d1) / types if types else 0)
             if total[before]:
-                p = cut(pairs[before, x], d2) / total[before] + free(follow[before], d2) / total[before] * p
+                p = cut(pairs[before, x], d2) / total[before] + high[before] / total[before] * p
             score += math.log10(p)
             base += math.log10((uni[x] + 1) / (n + v + 1))
             known += uni[x] > 0
