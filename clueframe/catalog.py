@@ -461,7 +461,9 @@ def synthetic_images(spark: SparkSession, d: str) -> DataFrame:
             n = len(out)
             yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in batch.column(0).to_pylist()]), *(pa.array([k] * n, pa.int32()) for k in (400, 800, 3)), pa.array(out, pa.binary())], names=["path", "height", "width", "channels", "data"])
 
-    return _read(spark, d, "embeddings").select("vec_id", "embedding").mapInArrow(run, "path string, height int, width int, channels int, data binary")
+    # A row becomes a megabyte: the few rows of one file are dealt to all cores first.
+    rows = _read(spark, d, "embeddings").select("vec_id", "embedding").repartition(4 * spark.sparkContext.defaultParallelism, "vec_id")
+    return rows.mapInArrow(run, "path string, height int, width int, channels int, data binary")
 
 
 @query()
