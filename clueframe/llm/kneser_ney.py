@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import fresh, mapped, put, stored
+from .shared import arrow_batches, fresh, mapped, put, stored
 
 PIECE = 8 << 20
 END = np.uint64(0xE4D0_0000_0000_0001)
@@ -318,21 +318,6 @@ def _sorted(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
 
-class _batches:
-    """Rows that hold arrays go to Python some megabytes at a time."""
-
-    def __init__(self, spark: SparkSession, size: int = 16 << 20):
-        self.spark, self.size = spark, size
-
-    def __enter__(self):
-        self.key = "spark.sql.execution.arrow.maxBytesPerBatch"
-        self.old = self.spark.conf.get(self.key)
-        self.spark.conf.set(self.key, str(self.size))
-
-    def __exit__(self, *_):
-        self.spark.conf.set(self.key, self.old)
-
-
 def train(texts: DataFrame, text: str = "text") -> Model:
     """Counts a model over all rows."""
     spark = texts.sparkSession
@@ -342,7 +327,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     model = Model(fresh(spark, "model"), bits)
     docs = texts.count()
     words = texts.mapInArrow(_word_counts(bits), _ROW)
-    with _batches(spark):
+    with arrow_batches(spark):
         meta = stored(_sorted(words, 1 << bits).mapInArrow(_merge_words(model.folder), "bucket int, words long, tokens long, often array<long>, counts array<long>"), "meta").orderBy("bucket").collect()
     model.docs, model.n, model.v = docs, sum(r.tokens for r in meta), sum(r.words for r in meta)
     if not meta:
@@ -365,7 +350,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     model.breaks = (np.array(xs), np.array(ys) / ys[-1])
     model.width = -(-model.v // buckets)
     pairs = texts.mapInArrow(_pair_counts(model, buckets), _ROW)
-    with _batches(spark):
+    with arrow_batches(spark):
         found = stored(_sorted(pairs, buckets).mapInArrow(_merge_pairs(model), _PAIR_META), "pairs")
     meta = found.where("kind = 'meta'").select("bucket", "first", "numbers", "ends").orderBy("first").collect()
     model.pairs = [(r.bucket, int(r.first)) for r in meta]
@@ -375,7 +360,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         for first, stats in sides.items():
             ends.setdefault(first, []).append(stats)
     model.split = {k: tuple(map(sum, zip(*v))) for k, v in ends.items() if len(v) > 1}
-    with _batches(spark):
+    with arrow_batches(spark):
         types = stored(_sorted(found.where("kind = 'types'").select("bucket", "keys", "counts"), buckets).mapInArrow(_merge_types(model), "bucket int, types long, n1 long, n2 long, n3 long, n4 long, over long"), "types").collect()
     model.types = sum(r.types for r in types)
     low = discounts(*(sum(r[k] for r in types) for k in ("n1", "n2", "n3", "n4")))

@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .components import connected
-from .shared import stored
+from .shared import arrow_batches, stored
 
 PERCENT = 80
 BANDS, ROWS = 40, 5
 LEAST_AGREE = 130
 BLOCK = 2048
 #: Ids (8 bytes each) that a broadcast side may hold; beyond it both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -265,6 +265,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+    with arrow_batches(docs.sparkSession, rows=2000):
+        return _near_duplicates(docs, shingle, percent, text)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sketch = stored(texts.mapInArrow(_sketch(shingle), _SKETCH), "sketch")
     classes = stored(

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 20  # bytes
 
 _SEED = np.random.default_rng(0x5EED)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -102,16 +102,22 @@ class Words:
 
     def hashes(self, first: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word (or of its ``first`` bytes), the same in every process."""
-        n = len(self.data)
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        up, down = _powers(max(PIECE, 1 << (n - 1).bit_length()))
-        table = _BYTE[LOWER] if self.fold else _BYTE
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(table[self.data] * up[:n], out=total[1:])
+        out = np.empty(len(self.starts), np.uint64)
         ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
-        return mix((total[ends] - total[self.starts]) * down[self.starts])
+        table = _BYTE[LOWER] if self.fold else _BYTE
+        at = 0
+        while at < len(out):  # in runs of words of about PIECE bytes
+            base = self.starts[at]
+            to = max(at + 1, int(np.searchsorted(ends, base + PIECE, side="right")))
+            data = self.data[base : ends[to - 1]]
+            up, down = _powers(max(PIECE, 1 << (len(data) - 1).bit_length()))
+            total = np.empty(len(data) + 1, np.uint64)
+            total[0] = 0
+            np.cumsum(table[data] * up[: len(data)], out=total[1:])
+            begin, end = self.starts[at:to] - base, ends[at:to] - base
+            out[at:to] = mix((total[end] - total[begin]) * down[begin])
+            at = to
+        return out
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b - 1, folded, with single spaces between them."""

@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,20 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/clueframe/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int = 8 << 20, rows: int | None = None):
+    """Within, jobs give Python batches of about ``size`` bytes, and of ``rows`` rows at most."""
+    want = {"spark.sql.execution.arrow.maxBytesPerBatch": size} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": rows} if rows else {})
+    old = {k: spark.conf.get(k) for k in want}
+    for k, x in want.items():
+        spark.conf.set(k, str(x))
+    try:
+        yield
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read from there: lineage ends here."""
     spark = df.sparkSession
