@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import arrow_batches, fresh, mapped, put, stored
+from .shared import array, arrow_batches, fresh, put, stored
 
 PIECE = 8 << 20
 END = np.uint64(0xE4D0_0000_0000_0001)
@@ -91,17 +91,6 @@ def _arrays(batches):
         yield at, np.concatenate(keys), np.concatenate(counts)
 
 
-def _mapped(path: str, kind) -> np.ndarray:
-    if path not in _open:
-        if len(_open) > 4096:
-            _open.clear()
-        _open[path] = np.memmap(mapped(path), dtype=kind, mode="r")
-    return _open[path]
-
-
-_open: dict[str, np.ndarray] = {}
-
-
 def _tokens(w: scan.Words) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of rows with an end after each, and where each row begins."""
     counts = w.counts
@@ -140,11 +129,11 @@ class Model:
             if b not in self.sizes:
                 continue
             s = slice(edges[b], edges[b + 1])
-            keys = _mapped(f"{self.folder}/words-{b}", np.uint64)
+            keys = array(f"{self.folder}/words-{b}", np.uint64)
             at = np.searchsorted(keys, h[s]).clip(max=len(keys) - 1)
             there = keys[at] == h[s]
             rank[s] = np.where(there, at + self.ranks[b], -1)
-            count[s] = np.where(there, _mapped(f"{self.folder}/counts-{b}", np.int64)[at], 0)
+            count[s] = np.where(there, array(f"{self.folder}/counts-{b}", np.int64)[at], 0)
         return rank, count
 
     def share(self, rank: np.ndarray) -> np.ndarray:
@@ -165,9 +154,9 @@ class Model:
         edges = np.concatenate([[0], edges, [len(keys)]])
         for i in np.flatnonzero(np.diff(edges)):
             b, s = self.pairs[i][0], slice(edges[i], edges[i + 1])
-            have = _mapped(f"{self.folder}/pairs-{b}", np.uint64)
+            have = array(f"{self.folder}/pairs-{b}", np.uint64)
             at = np.searchsorted(have, keys[s]).clip(max=len(have) - 1)
-            out[s] = np.where(have[at] == keys[s], _mapped(f"{self.folder}/paircounts-{b}", np.uint32)[at], 0)
+            out[s] = np.where(have[at] == keys[s], array(f"{self.folder}/paircounts-{b}", np.uint32)[at], 0)
         return out
 
     def contexts(self, first: np.ndarray) -> np.ndarray:
@@ -179,7 +168,7 @@ class Model:
         place = np.searchsorted(begins, first, side="right") - 1
         for i in np.unique(place[place >= 0]).tolist():
             s = np.flatnonzero(place == i)
-            table = _mapped(f"{self.folder}/contexts-{self.pairs[i][0]}", np.uint32).reshape(-1, 4)
+            table = array(f"{self.folder}/contexts-{self.pairs[i][0]}", np.uint32).reshape(-1, 4)
             at = np.searchsorted(table[:, 0], first[s]).clip(max=len(table) - 1)
             there = table[at, 0] == first[s]
             out[s] = np.where(there[:, None], table[at, 1:], 0)
@@ -193,7 +182,7 @@ class Model:
         place = rank // self.width
         for b in np.unique(place).tolist():
             s = place == b
-            out[s] = _mapped(f"{self.folder}/continuations-{b}", np.uint32)[rank[s] - b * self.width]
+            out[s] = array(f"{self.folder}/continuations-{b}", np.uint32)[rank[s] - b * self.width]
         return out
 
 

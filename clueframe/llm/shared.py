@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -83,19 +83,26 @@ def put(path: str, data) -> None:
     store.move(half, at)
 
 
-def mapped(path: str) -> str:
-    """A path that can be memory-mapped: the file itself, or this worker's copy of it."""
+_held: dict[str, np.ndarray] = {}
+_HELD_BYTES = 256 << 20
+
+
+def array(path: str, kind) -> np.ndarray:
+    """A file's numbers: mapped where open() reaches the shared folder, else read, with a bound on what is held."""
+    if path in _held:
+        return _held[path]
     at = local(path)
     if at is not None:
-        return at
+        if len(_held) > 4096:
+            _held.clear()
+        _held[path] = np.memmap(at, dtype=kind, mode="r")
+        return _held[path]
     from pyarrow import fs
 
     store, there = fs.FileSystem.from_uri(path)
-    here = os.path.join(tempfile.gettempdir(), "clueframe", there.strip("/").replace("/", "_"))
-    if not os.path.exists(here):
-        os.makedirs(os.path.dirname(here), exist_ok=True)
-        half = f"{here}.{uuid.uuid4().hex}"
-        with store.open_input_stream(there) as source, open(half, "wb") as out:
-            shutil.copyfileobj(source, out, 1 << 20)
-        os.replace(half, here)
-    return here
+    with store.open_input_file(there) as source:
+        data = np.frombuffer(source.read(), kind)
+    if sum(x.nbytes for x in _held.values()) + data.nbytes > _HELD_BYTES:
+        _held.clear()
+    _held[path] = data
+    return data
