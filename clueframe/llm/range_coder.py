@@ -25,7 +25,7 @@ import numpy as np
 BLOCK = 2048
 REFRESH = 64
 MAGIC = b"CFTK\x00\x01"
-_SLOTS2, _SLOTS1 = 12, 11  # bits
+_SLOTS2, _SLOTS1 = 10, 9  # bits
 _TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
 _16, _48 = np.uint64(16), np.uint64(48)
 _LOW = np.uint64((1 << 32) - 1)

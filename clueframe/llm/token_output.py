@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder, scan
-from .shared import fresh
+from .shared import arrow_batches, fresh
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-SEGMENT_IDS = 6_000_000
-_MOST_PARTS = 2_500_000
-_PIECE = 4 << 20
+SEGMENT_IDS = 3_000_000
+_MOST_PARTS = 1_000_000
+_PIECE = 2 << 20
 _SEPARATOR = "<|startoftext|>"
 
 _SEGMENTS = "shard int, segment int, start long, n_docs long, n_tokens long, payload binary"
@@ -86,12 +86,12 @@ class Encoder:
         odd = [i for i, t in enumerate(texts) if _SEPARATOR in t]
         ids, counts = [], []
         clean = ["" if _SEPARATOR in t else t for t in texts] if odd else texts
-        joined = [_SEPARATOR.join(clean[i : i + 256]) for i in range(0, len(clean), 256)]
-        for e, n in zip(self.whole(joined), (min(256, len(clean) - i) for i in range(0, len(clean), 256))):
-            at = np.flatnonzero(e == self.separator)
-            counts.append(np.diff(np.concatenate([[-1], at, [len(e)]])) - 1)
-            assert len(counts[-1]) == n
-            ids.append(e[e != self.separator])
+        for first in range(0, len(clean), 256 * 16):  # the library's results are large: a few at a time
+            some = clean[first : first + 256 * 16]
+            for e in self.whole([_SEPARATOR.join(some[i : i + 256]) for i in range(0, len(some), 256)]):
+                at = np.flatnonzero(e == self.separator)
+                counts.append(np.diff(np.concatenate([[-1], at, [len(e)]])) - 1)
+                ids.append(e[e != self.separator])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         if odd:
@@ -183,7 +183,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     """Write the ids of ``docs`` (doc_id, text) to a new folder."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     x = x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    x.mapInArrow(_writer(vocabulary, end_id), _SEGMENTS).write.parquet(path)
+    with arrow_batches(docs.sparkSession, rows=1000):
+        x.mapInArrow(_writer(vocabulary, end_id), _SEGMENTS).write.parquet(path)
 
 
 def _reader(base: dict[int, int], with_ids: bool):
