@@ -83,9 +83,15 @@ def _counts(batches):
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE, text: str = "text", lang: str = "lang") -> Trigrams:
-    """Tables from at most ``rows`` labelled texts, those of least hash."""
+    """Tables from at most ``rows`` labelled texts, those of least hash.
+
+    The hashes alone are ordered; texts are then taken up to the last one, and twice ``rows`` at
+    most where that hash or another is of a text that occurs very often.
+    """
     x = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
-    x = x.orderBy(F.xxhash64("text"), "lang").limit(rows)
+    h = F.xxhash64("text", "lang")
+    last = x.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    x = x.where(h <= last).limit(2 * rows) if last is not None else x
     counts: dict[str, np.ndarray] = {}
     for r in x.repartition(8).mapInArrow(_counts, "lang string, counts binary").collect():
         counts[r.lang] = counts.get(r.lang, 0) + np.frombuffer(bytes(r.counts), np.int64)
