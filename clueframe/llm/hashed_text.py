@@ -101,20 +101,28 @@ class Design:
 
     def __init__(self, features: list[np.ndarray], groups: np.ndarray):
         flat = np.concatenate(features) if features else np.zeros(0, np.uint64)
-        keys, back, counts = np.unique(flat, return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(features)), [len(f) for f in features])
+        row = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
+        keys, counts = np.unique(flat, return_counts=True)
+        keys, counts = keys[counts >= LEAST_ROWS], counts[counts >= LEAST_ROWS]
+        flat, row, column = self._among(keys, flat, row)
         telling = np.zeros(len(keys), bool)
         for g in groups.T.astype(float):
             p = g.mean()
             if 0 < p < 1:
-                telling |= np.abs(np.bincount(back, g[row], len(keys)) - counts * p) >= LEAST_Z * np.sqrt(counts * p * (1 - p))
-        self.keys = keys[(counts >= LEAST_ROWS) & telling]
-        column = np.searchsorted(self.keys, flat).clip(max=max(0, len(self.keys) - 1))
-        have = self.keys[column] == flat if len(self.keys) else np.zeros(len(flat), bool)
-        self.row = row[have]
-        self.column = column[have]
+                telling |= np.abs(np.bincount(column, g[row], len(keys)) - counts * p) >= LEAST_Z * np.sqrt(counts * p * (1 - p))
+        self.keys = keys[telling]
+        _, self.row, self.column = self._among(self.keys, flat, row)
         self.rows = len(features)
 
+    @staticmethod
+    def _among(keys: np.ndarray, flat: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The features that are among the keys, their rows and their places."""
+        if not len(keys):
+            return flat[:0], row[:0], np.zeros(0, np.int32)
+        column = np.searchsorted(keys, flat).astype(np.int32).clip(max=len(keys) - 1)
+        have = keys[column] == flat
+        return flat[have], row[have], column[have]
+
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.column], self.rows)
 
