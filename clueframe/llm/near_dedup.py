@@ -5,8 +5,8 @@ that of its distinct ``shingle``-word runs; with fewer words, the whole sequence
 one; without words or text it is empty and linked with nothing.  Two documents are
 linked where ``100 * |intersection| >= percent * |union|``.
 
-1. Texts with equal sets (by a 128-bit digest) form a class, represented by its
-   least doc_id, so that copies are compared once however many there are.
+1. Texts with equal sets (by a 128-bit digest) form a class, a node with a number of its
+   own, so that copies are compared once however many there are.
 2. ``BANDS`` bands of ``ROWS`` universal-hash minima bucket the classes.  At a
    similarity of 0.8 a pair shares no bucket with probability (1 - 0.8^5)^40 = 1e-7.
 3. In each bucket every class is paired with the least one.  A pair goes on if the
@@ -21,7 +21,7 @@ So no group is expanded into pairs, and each pair that shares a bucket is either
 confirmed, refused, or already in one component.
 
 Rows that share a doc_id are one document, with the links of all its texts.  Rows with
-a null doc_id are no one's representative; where their class has no other rows, their
+a null doc_id are compared as all others are; where no doc_id is reachable, their
 component is null.  Extra columns are not looked at.
 """
 
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scan
 from .components import connected
@@ -114,7 +115,7 @@ def _sketch(shingle: int):
                 rows, new = [], []
                 for i, s in enumerate(sets):
                     n.append(len(s))
-                    d = blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                    d = _digest(s)
                     digests.append(d)
                     if d is not None and d not in met:
                         if len(met) < 1_000_000:
@@ -154,7 +155,43 @@ def _sets(shingle: int):
     def run(batches):
         for batch in batches:
             out = [s.tobytes() for _, sets in shingle_sets(batch.column(1), shingle) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "set"])
+
+    return run
+
+
+def _digest(s: np.ndarray) -> bytes | None:
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _digest_sets(shingle: int):
+    """Sets with their digests, each about once a task."""
+
+    def run(batches):
+        met: set[bytes] = set()
+        for batch in batches:
+            digests, out = [], []
+            for _, sets in shingle_sets(batch.column(0), shingle):
+                for s in sets:
+                    d = _digest(s)
+                    if d is not None and d not in met:
+                        if len(met) < 1_000_000:
+                            met.add(d)
+                        digests.append(d)
+                        out.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(out, pa.binary())], names=["digest", "set"])
+
+    return run
+
+
+def _with_digest(shingle: int, text: str, into: str):
+    """The rows with the digest of their set as a last column."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            digests = [_digest(s) for _, sets in shingle_sets(batch.column(at), shingle) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=[*batch.schema.names, into])
 
     return run
 
@@ -198,15 +235,15 @@ def _groups(batches, size: int):
 class _Part:
     """Members of a bucket's block, or of two blocks (side 0 and side 1), and which of them may be linked."""
 
-    def __init__(self, percent: int, side, rep, comp, n, signature, bands):
-        self.percent, self.side, self.rep, self.comp, self.n = percent, np.array(side), np.array(rep), np.array(comp), np.array(n)
+    def __init__(self, percent: int, side, node, comp, n, signature, bands):
+        self.percent, self.side, self.node, self.comp, self.n = percent, np.array(side), np.array(node), np.array(comp), np.array(n)
         self.signature = np.frombuffer(b"".join(signature), np.uint8).reshape(-1, BANDS * ROWS)
         self.bands = np.array(bands)
         self.two = bool(self.side.any())
 
     def near(self, i: int, bucket: int) -> np.ndarray:
         """Of other components, those that may be linked to i and share no earlier bucket with it."""
-        rest = (self.side == 1) if self.two else (np.arange(len(self.rep)) > i)
+        rest = (self.side == 1) if self.two else (np.arange(len(self.node)) > i)
         rest &= (self.comp != self.comp[i]) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i]))
         rest = np.flatnonzero(rest)
         if len(rest):
@@ -218,24 +255,24 @@ class _Part:
 
 
 def _asking(percent: int):
-    """(bucket, part, rep) of the members that may be linked to one of another component."""
+    """(bucket, part, node) of the members that may be linked to one of another component."""
 
     def run(batches):
         for (bucket, part), columns in _groups(batches, 6):
             x = _Part(percent, *columns)
-            asked = np.zeros(len(x.rep), bool)
+            asked = np.zeros(len(x.node), bool)
             for i in np.flatnonzero(x.side == 0):
                 near = x.near(i, bucket)
                 asked[near] = True
                 asked[i] |= len(near) > 0
-            reps = x.rep[asked]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), bucket)), pa.array(np.full(len(reps), part)), pa.array(x.side[asked]), pa.array(reps)], schema=_ASKED_ARROW)
+            nodes = x.node[asked]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(nodes), bucket)), pa.array(np.full(len(nodes), part)), pa.array(x.side[asked]), pa.array(nodes)], schema=_ASKED_ARROW)
 
     return run
 
 
-_ASKED = "bucket long, part long, side int, rep long"
-_ASKED_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("side", pa.int32()), ("rep", pa.int64())])
+_ASKED = "bucket long, part long, side int, node long"
+_ASKED_ARROW = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("side", pa.int32()), ("node", pa.int64())])
 
 
 def _joining(percent: int):
@@ -251,7 +288,7 @@ def _joining(percent: int):
                     if x.comp[i] != x.comp[j]:
                         c = _common(sets[i], sets[j])
                         if 100 * c >= percent * (len(sets[i]) + len(sets[j]) - c):
-                            out.append((x.rep[i], x.rep[j]))
+                            out.append((x.node[i], x.node[j]))
                             x.comp[x.comp == x.comp[j]] = x.comp[i]
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
@@ -265,6 +302,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+    return _found(docs, shingle, percent, text).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _found(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with digest and node, the least class reachable (null where a row is a copy of nothing)."""
     with arrow_batches(docs.sparkSession, rows=2000):
         return _near_duplicates(docs, shingle, percent, text)
 
@@ -272,68 +314,95 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, t
 def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     sketch = stored(texts.mapInArrow(_sketch(shingle), _SKETCH), "sketch")
+    again = stored(sketch.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    # A class is odd where its rep does not lead to one row.
+    repeated = small(again).select(F.col("doc_id").alias("rep"), F.lit(True).alias("again"))
     classes = stored(
         sketch.where("digest is not null")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"), F.first("signature", ignorenulls=True).alias("signature"), F.first("bands", ignorenulls=True).alias("bands")),
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count("*").alias("rows"), F.first("signature", ignorenulls=True).alias("signature"), F.first("bands", ignorenulls=True).alias("bands"))
+        .join(repeated, "rep", "left")
+        .withColumn("odd", F.expr("rep is null or again is not null"))
+        .drop("again")
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    known = classes.where("rep is not null").select("rep", "n", "signature")
-    rows = classes.where("rep is not null").select("rep", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("center"), F.count("*").alias("m")).where("m > 1")
-    members = stored(rows.join(shared, "bucket").where("rep <> center"), "members")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        asked = small(stored(ids.distinct(), "asked"))
-        return stored(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set binary"), "sets")
+    known = classes.select("node", "n", "signature")
+    rows = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("m")).where("m > 1")
+    members = stored(rows.join(shared, "bucket").where("node <> center"), "members")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        asked = stored(nodes.distinct().join(classes.select("node", "rep", "digest", "odd"), "node"), "asked")
+        plain = small(asked.where("not odd").select(F.col("rep").alias("doc_id"), "node"))
+        sets = texts.join(plain, "doc_id").select("node", "text").mapInArrow(_sets(shingle), "node long, set binary")
+        odd = asked.where("odd")
+        if odd.limit(1).count():
+            ids = small(odd.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
+            some = texts.join(ids, "doc_id", "left_semi").select("text").union(texts.where("doc_id is null").select("text"))
+            some = some.mapInArrow(_digest_sets(shingle), "digest binary, set binary").join(small(odd.select("digest", "node")), "digest")
+            sets = sets.union(some.dropDuplicates(["node"]).select("node", "set"))
+        return stored(sets, "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        one = known.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-        two = known.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+        one = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+        two = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
         near = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agreeing(percent), "a long, b long"), "near")
-        sets = sets_of(near.select(F.col("a").alias("doc_id")).union(near.select("b")))
-        both = near.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+        sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")))
+        both = near.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
-    links = stored(confirmed(members.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()), "links")
+    links = stored(confirmed(members.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()), "links")
     comps = connected(links)
 
-    placed = members.where("m > 2").select("bucket", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = members.where("m > 2").select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y").select("bucket", "m")
     # The number of blocks follows from the bucket's size; a row is sent to each part that has its block.
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")
+    mine = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
     parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(mine > o, 1).otherwise(0).alias("side")))
-    known = known.join(classes.select("rep", "bands"), "rep")
-    parts = placed.join(mixed, "bucket").select("bucket", "rep", "comp", F.explode(parts).alias("p"))
-    parts = stored(parts.select("bucket", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "rep", "comp"), "parts")
-    full = ["bucket", "part", "side", "rep", "comp", "n", "signature", "bands"]
+    known = classes.select("node", "n", "signature", "bands")
+    parts = placed.join(mixed, "bucket").select("bucket", "node", "comp", F.explode(parts).alias("p"))
+    parts = stored(parts.select("bucket", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "node", "comp"), "parts")
+    full = ["bucket", "part", "side", "node", "comp", "n", "signature", "bands"]
     sides = lambda x: x.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    asking = stored(sides(parts.join(known, "rep").select(*full)).mapInArrow(_asking(percent), _ASKED), "asking")
+    asking = stored(sides(parts.join(known, "node").select(*full)).mapInArrow(_asking(percent), _ASKED), "asking")
     if asking.limit(1).count():
-        sets = sets_of(asking.select(F.col("rep").alias("doc_id"))).withColumnRenamed("doc_id", "rep")
-        asked = parts.join(asking, ["bucket", "part", "side", "rep"], "left_semi").join(known, "rep").join(sets, "rep")
+        sets = sets_of(asking.select("node"))
+        asked = parts.join(asking, ["bucket", "part", "side", "node"], "left_semi").join(known, "node").join(sets, "node")
         more = stored(sides(asked.select(*full, "set")).mapInArrow(_joining(percent), "a long, b long").distinct(), "links")
         if more.limit(1).count():
             comps = connected(links.union(more))
 
-    found = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").where("rows > 1 or component is not null").select("digest", F.coalesce("component", "rep").alias("component"))
+    linked = stored(classes.select("digest", "node", "rep", "rows").join(comps, "node", "left").where("rows > 1 or component is not null").select("digest", "rep", F.coalesce("component", "node").alias("node")), "linked")
+    least = small(stored(linked.groupBy("node").agg(F.min("rep").alias("component")), "least"))
+    found = linked.join(least, "node").select("digest", "node", "component")
     out = sketch.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "digest", "node")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """``docs`` with one document of each component (that of the least doc_id); same columns.
 
-    Of rows that share a doc_id, one stays.  Rows with a null doc_id stay where they are copies of nothing.
+    Of rows that share a doc_id, one stays.  Rows with a null doc_id stay where they are copies of nothing;
+    of a component without any doc_id one row stays, of the least digest.
     """
-    found = stored(near_duplicates(docs, shingle, percent, text), "components")
+    found = stored(_found(docs, shingle, percent, text), "components")
     gone = small(found.where("doc_id is not null and not kept").select("doc_id").distinct())
     key = F.col("doc_id").cast("long")
     out = docs.join(gone.withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")
-    if found.where("component_id is not null and doc_id is null").limit(1).count():
-        out = out.where("doc_id is not null")
+    copies = found.where("doc_id is null and node is not null")
+    if copies.limit(1).count():
+        one = copies.where("component_id is null").groupBy("node").agg(F.min("digest").alias("digest"))
+        lost = small(stored(copies.select("digest").distinct().join(one.select("digest"), "digest", "left_anti"), "lost"))
+        own = "__digest"
+        nulls = docs.where(key.isNull())
+        nulls = nulls.mapInArrow(_with_digest(shingle, text, own), T.StructType([*nulls.schema.fields, T.StructField(own, T.BinaryType())]))
+        nulls = nulls.join(lost.withColumnRenamed("digest", "__lost"), F.col(own) == F.col("__lost"), "left_anti")
+        # Of equal sets one stays; rows without a set are copies of nothing.
+        nulls = nulls.where(F.col(own).isNull()).unionByName(nulls.where(F.col(own).isNotNull()).dropDuplicates([own]))
+        out = out.where(key.isNotNull()).unionByName(nulls.drop(own))
     again = small(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
     if again.limit(1).count():
         once = out.join(again, key == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])

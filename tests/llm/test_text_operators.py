@@ -212,3 +212,18 @@ def test_items_digest(spark, tmp_path):
     got = {r.doc_id: r for r in dc.op1_decontaminate(spark, str(tmp_path)).collect()}
     assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].contaminated) == (3, 2, 2, True)
     assert got[1].items_sha256 == hashlib.sha256(b"10,9").hexdigest() and got[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_deduplicate_null_ids(spark):
+    long = [f"w{j}" for j in range(40)]
+    near_a, near_b = " ".join(long), " ".join([*long[:-1], "other"])
+    rows = [(None, "a b c"), (1, "a b c"), (None, "x y z"), (None, "p q r"), (None, "P q r"), (None, near_a), (None, near_b), (None, None), (None, ""), (2, "k l m")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, x int")
+    got = near_dedup.deduplicate(df, shingle=2)
+    assert got.columns == df.columns
+    left = {r.x for r in got.collect()}
+    assert left >= {1, 2, 7, 8, 9} and 0 not in left
+    assert len(left & {3, 4}) == 1 and len(left & {5, 6}) == 1 and len(left) == 7
+    # a near copy of an identified document goes, and joins what it is near to
+    got = near_dedup.deduplicate(spark.createDataFrame([(7, near_a), (None, near_b), (None, "x y z")], "doc_id long, text string"), shingle=2)
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("7", near_a), ("None", "x y z")]
