@@ -20,7 +20,8 @@ linked where ``100 * |intersection| >= percent * |union|``.
 So no group is expanded into pairs, and each pair that shares a bucket is either
 confirmed, refused, or already in one component.
 
-Rows that share a doc_id are one document, with the links of all its texts.  Rows with
+Rows that share a doc_id are one document, with the links of all its texts: its classes
+are linked, and its rows without a set are in their component.  Rows with
 a null doc_id are compared as all others are; where no doc_id is reachable, their
 component is null.  Extra columns are not looked at.
 """
@@ -353,6 +354,12 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
         return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
     links = stored(confirmed(members.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()), "links")
+    # The classes of one doc_id are linked with the least of them.
+    owned = stored(sketch.where("digest is not null").join(small(again), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "node"), "digest"), "owned")
+    several = owned.limit(1).count() > 0
+    if several:
+        head = small(stored(owned.groupBy("doc_id").agg(F.min("node").alias("a")), "head"))
+        links = stored(links.union(owned.join(head, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))), "links")
     comps = connected(links)
 
     placed = members.where("m > 2").select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
@@ -378,6 +385,10 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
     least = small(stored(linked.groupBy("node").agg(F.min("rep").alias("component")), "least"))
     found = linked.join(least, "node").select("digest", "node", "component")
     out = sketch.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
+    if several:
+        # A document's rows without a set are in the component of its others.
+        rest = owned.join(found.select("digest", F.col("component").alias("own")), "digest", "left").groupBy("doc_id").agg(F.min("own").alias("own"))
+        out = out.join(small(stored(rest, "own")), "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "digest", "node")
 

@@ -227,3 +227,17 @@ def test_deduplicate_null_ids(spark):
     # a near copy of an identified document goes, and joins what it is near to
     got = near_dedup.deduplicate(spark.createDataFrame([(7, near_a), (None, near_b), (None, "x y z")], "doc_id long, text string"), shingle=2)
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == [("7", near_a), ("None", "x y z")]
+
+
+def test_repeated_ids_join_their_texts(spark):
+    a, b, c = "a b c d", "k l m n", "u v w x"
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, None), (9, c), (9, a.upper()), (11, "q r s"), (12, "z"), (12, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, shingle=2).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (9, 3, False), (11, 11, True), (12, 12, True)}
+    # two texts of one id as least of their classes, in buckets of several components
+    words = [f"w{j}" for j in range(60)]
+    texts = [" ".join([*words[:j], f"x{j}", *words[j + 1 :]]) for j in (5, 20, 35, 50)]
+    rows = [(1, texts[0]), (1, " ".join(f"v{j}" for j in range(60))), (1, texts[1]), (2, texts[2]), (3, texts[3]), (None, texts[3])]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert len(found) == 6 and {r.component_id for r in found} == {1}
