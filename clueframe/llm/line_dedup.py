@@ -17,7 +17,8 @@ components they are compared with each other, across components only, in blocks
 most ``BLOCK``; a pair whose character counts differ by too much is passed over unverified.
 
 Texts go by 96-bit digests.  A null doc_id comes before all others; rows that share a doc_id
-count as one document, whose equal lines of equal number are one.  Null texts have no lines.
+count as one document, whose equal lines of equal number are one.  Rows with a null doc_id are
+documents of their own where texts are cut.  Null texts have no lines.
 """
 
 from __future__ import annotations
@@ -116,13 +117,15 @@ def _lines(text: str | None):
 
 def _occurring(batches):
     for batch in batches:
-        ids, at, digests = [], [], []
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+        rows, at, digests = [], [], []
+        for k, t in enumerate(batch.column(batch.schema.get_field_index("text"))):
             for i, x in _lines(t.as_py()):
-                ids.append(d)
+                rows.append(k)
                 at.append(i)
                 digests.append(_digest(x.encode()))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "line", "digest"])
+        rows = pa.array(rows, pa.int64())
+        keys = [(n, c.take(rows)) for n, c in zip(batch.schema.names, batch.columns) if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(c for _, c in keys), pa.array(at, pa.int32()), pa.array(digests, pa.binary())], names=[*(n for n, _ in keys), "line", "digest"])
 
 
 def _keyed(threshold: int, min_chars: int):
@@ -222,20 +225,43 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, line, digest, class, near) of each line that takes part, and (doc_id, line, class) of each class's first."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    near = small(stored(near_lines(docs, threshold, min_chars), "near"))
-    lines = stored(docs.mapInArrow(_occurring, "doc_id long, line int, digest binary"), "lines")
-    lines = lines.join(near, "digest", "left").select("doc_id", "line", "digest", F.coalesce("component", "digest").alias("class"), F.col("component").isNotNull().alias("near"))
+    lines = _classed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), threshold, min_chars)
     first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("f")).select("f.doc_id", "f.line", "class")
     return lines, first
 
 
+def _classed(docs: DataFrame, threshold: int, min_chars: int, keys: str = "doc_id long") -> DataFrame:
+    """The keys of each line's row, its number, digest, class and near; ``docs`` are the keys and the text."""
+    near = small(stored(near_lines(docs, threshold, min_chars), "near"))
+    lines = stored(docs.mapInArrow(_occurring, f"{keys}, line int, digest binary"), "lines")
+    return lines.join(near, "digest", "left").select(*(c for c in docs.columns if c != "text"), "line", "digest", F.coalesce("component", "digest").alias("class"), F.col("component").isNotNull().alias("near"))
+
+
+def _numbered(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with __row: a number of each row whose doc_id is null, a hash of the text of any other."""
+    key, row = F.col("doc_id").cast("long"), F.md5(F.col(f"`{text}`").cast("binary"))
+    nulls = docs.where(key.isNull())
+    if not nulls.limit(1).count():
+        return docs.withColumn("__row", row)
+    nulls = stored(nulls.withColumn("__row", F.monotonically_increasing_id().cast("string")), "nulls")
+    return docs.where(key.isNotNull()).withColumn("__row", row).unionByName(nulls)
+
+
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
-    """``docs`` whose texts hold each class's first line only; same columns."""
-    lines, first = line_classes(docs, threshold, min_chars, text)
-    same = (F.col("l.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("l.line") == F.col("f.line")) & (F.col("l.class") == F.col("f.class"))
-    gone = lines.alias("l").join(first.alias("f"), same, "left_anti").groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left")
+    """``docs`` whose texts hold each class's first line only; same columns.
+
+    Lines are cut from the row that holds them.  Of rows with a null doc_id and lines of equal number, any may be first.
+    """
+    docs_ = _numbered(docs, text)
+    key = F.col("doc_id").cast("long")
+    lines = _classed(docs_.select(key.alias("doc_id"), F.col("__row").alias("row"), F.col(f"`{text}`").alias("text")), threshold, min_chars, "doc_id long, row string")
+    lines = lines.withColumn("own", F.expr("if(doc_id is null, row, '')"))
+    first = lines.groupBy("class").agg(F.min(F.struct("doc_id", "line", "digest", "own")).alias("f")).select("f.*", "class")
+    same = F.col("l.doc_id").eqNullSafe(F.col("f.doc_id"))
+    for c in ("line", "digest", "own", "class"):
+        same &= F.col(f"l.{c}") == F.col(f"f.{c}")
+    gone = lines.alias("l").join(first.alias("f"), same, "left_anti").groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__at")).agg(F.collect_set("line").alias("__gone"))
+    joined = docs_.join(gone, key.eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__at")), "left")
     cut = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(cut)).select(*(F.col(f"`{c}`") for c in docs.columns))
 

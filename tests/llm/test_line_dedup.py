@@ -83,3 +83,15 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, line string, digest string")
     assert ld.dedup_lines(df).collect() == [] and ld.line_classes(df)[1].count() == 0
+
+
+def test_rows_are_cut_by_themselves(spark):
+    same, near = "a line that is long enough to be linked", "a line that is long enough to be linkEd"
+    rows = [(None, f"n zero\n{same}\nn two"), (None, "m zero\nm one is unique here\nm two"), (None, f"o zero\n{near}"), (None, "m zero"), (4, f"p zero\n{same}"), (4, "q zero\nq one is unique too"), (4, "q zero\nr one"), (4, "q zero\nr one")]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, x int")
+    got = ld.dedup_lines(df)
+    assert got.columns == df.columns
+    cut = {r.x: r.text for r in got.collect()}
+    assert {(cut[0], cut[2])} <= {(rows[0][1], "o zero"), ("n zero\nn two", rows[2][1])}
+    assert {(cut[1], cut[3])} <= {(rows[1][1], ""), ("m one is unique here\nm two", "m zero")}
+    assert cut[4] == "p zero" and [cut[i] for i in (5, 6, 7)] == [rows[i][1] for i in (5, 6, 7)]
