@@ -6,8 +6,9 @@ none, is one window.  Documents stream through workers that hold the windows as
 sorted 64-bit hashes with a bit filter before them; each hash match is verified on
 the words themselves, and the verified windows give hit words, spans and items.
 
-The items are sent in blocks of at most ``BLOCK_BYTES`` of text, one pass over a
-batch for each block, so that memory doesn't grow with the benchmark.
+The items go out in blocks of about ``BLOCK_BYTES`` of text.  One block is broadcast; where there
+are more, they are files of the shared folder, and a worker passes them one after another over
+``RUN_BYTES`` of documents, so that memory grows neither with the benchmark nor with the documents.
 
 Null texts have no words; an item without words hits nothing; an item with a null
 id marks words but is named nowhere; ids that repeat are one item.  Rows are judged
@@ -17,7 +18,10 @@ Input columns stay as they are, save one with the result's name, which is replac
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scan
+from .shared import array, fresh, put
 
 N = 10
 BLOCK_BYTES = 8 << 20
+#: Text that workers hold at a time where a benchmark has several blocks.
+RUN_BYTES = 32 << 20
 
 RESULT = T.StructType(
     [
@@ -65,9 +72,8 @@ class Windows:
     def item(self, word: int) -> str | None:
         return self.ids[int(np.searchsorted(self.words.rows, word, side="right")) - 1]
 
-    def hits(self, w: scan.Words) -> Iterator[tuple[int, int, int, set[str]]]:
-        """(row, first word, length, items) of each verified window."""
-        h = w.hashes()
+    def hits(self, w: scan.Words, h: np.ndarray) -> Iterator[tuple[int, int, int, set[str]]]:
+        """(row, first word, length, items) of each verified window; ``h`` are the words' hashes."""
         for k, keys, at, seen, shift in self.by_length:
             got = scan.rolling(h, k)
             near = np.flatnonzero(seen[got >> shift])
@@ -82,15 +88,39 @@ class Windows:
                     yield r, i, k, {x for x in map(self.item, same) if x is not None}
 
 
-_built: dict[int, Windows] = {}
+class _Items:
+    """The items' blocks as workers get them: one is broadcast, more are files of the shared folder, read one by one."""
 
+    def __init__(self, spark: SparkSession, items: Iterator[list[tuple[str | None, bytes]]]):
+        self.token, self.count, self.sent, self.folder = uuid4().hex, 0, None, None
+        first = next(items, None)
+        second = next(items, None)
+        if second is None:
+            if first is not None:
+                self.count, self.sent = 1, spark.sparkContext.broadcast(first)
+            return
+        self.folder = fresh(spark, "items")
+        for block in chain([first, second], items):
+            put(f"{self.folder}/{self.count}", [pickle.dumps(block)])
+            self.count += 1
 
-def _windows(block, n: int) -> Windows:
-    """The block's windows, built once in a worker, which keeps one block."""
-    key = (block.id if hasattr(block, "id") else id(block), n)
+    def block(self, k: int):
+        return self.sent.value if self.sent is not None else pickle.loads(array(f"{self.folder}/{k}", np.uint8, keep=False).tobytes())
+
+
+_built: dict[tuple[str, int, int], Windows] = {}
+
+
+def _windows(items: _Items, k: int, n: int) -> Windows:
+    """The windows of block k, built once in a worker while it uses no other.
+
+    The key is the token that the driver gave these items: a worker serves many jobs, and an address or
+    number of its own may come back for other items.
+    """
+    key = (items.token, k, n)
     if key not in _built:
         _built.clear()
-        _built[key] = Windows(block.value, n)
+        _built[key] = Windows(items.block(k), n)
     return _built[key]
 
 
@@ -111,46 +141,58 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = N, text: str
 
     With ``cut``, the bytes of hit spans are removed from the text itself.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, item_id, item_text)] or [None]
+    sent = _Items(docs.sparkSession, _blocks(items, item_id, item_text))
     docs = docs.drop(into) if into in docs.columns else docs
-    for k, block in enumerate(blocks):
-        schema = T.StructType([f for f in docs.schema.fields if f.name != into] + [T.StructField(into, RESULT)])
-        docs = docs.mapInArrow(_scanner(block, n, text, into, k > 0, cut and k == len(blocks) - 1), schema)
-    return docs
+    return docs.mapInArrow(_scanner(sent, n, text, into, cut), T.StructType([*docs.schema.fields, T.StructField(into, RESULT)]))
 
 
-def _scanner(block, n: int, text: str, into: str, more: bool, cut: bool):
+def _runs(batches, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together until they hold ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
+def _scanner(items: _Items, n: int, text: str, into: str, cut: bool):
     def run(batches):
-        index = _windows(block, n) if block is not None else Windows([], n)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text))
-            before = batch.column(batch.schema.get_field_index(into)).to_pylist() if more else None
-            results, texts = [], [] if cut else None
-            for a, _, w in scan.scanned(column, scan.ALNUM):
-                found: dict[int, tuple[list, set]] = {}
-                for r, i, k, names in index.hits(w):
-                    spans, items = found.setdefault(r, ([], set()))
-                    spans.append((i - int(w.rows[r]), i - int(w.rows[r]) + k - 1))
-                    items |= names
-                for r, c in enumerate(w.counts.tolist()):
-                    spans, items = found.get(r, ((), ()))
-                    if before is not None:
-                        old = before[a + r]
-                        spans = [*spans, *((s["first"], s["last"]) for s in old["spans"])]
-                        items = {*items, *old["items"]}
-                    spans = _merged(spans)
-                    results.append({"n_words": c, "n_hit": sum(y - x + 1 for x, y in spans), "items": sorted(items), "spans": [{"first": x, "last": y} for x, y in spans]})
-                    if cut:
-                        texts.append(_without(w, r, spans) if spans else None)
-            columns = {f.name: batch.column(j) for j, f in enumerate(batch.schema) if f.name != into}
-            if cut and any(x is not None for x in texts):
-                columns[text] = pa.array([t if x is None else x for t, x in zip(column.to_pylist(), texts)], type=column.type)
-            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(results, type=_ARROW)], names=[*columns, into])
+        # A single block stays in the worker; where there are more, each is read for a run of batches.
+        for some in _runs(batches, RUN_BYTES if items.count > 1 else 1):
+            at = some[0].schema.get_field_index(text)
+            pieces = [[(w, w.hashes(), {}) for _, _, w in scan.scanned(batch.column(at), scan.ALNUM)] for batch in some]
+            for k in range(items.count):
+                index = _windows(items, k, n)
+                for w, h, found in chain.from_iterable(pieces):
+                    for r, i, length, names in index.hits(w, h):
+                        spans, ids = found.setdefault(r, ([], set()))
+                        spans.append((i - int(w.rows[r]), i - int(w.rows[r]) + length - 1))
+                        ids |= names
+            for batch, own in zip(some, pieces):
+                yield _judged(batch, own, at, into, cut)
 
     return run
 
 
+def _judged(batch: pa.RecordBatch, pieces: list, at: int, into: str, cut: bool) -> pa.RecordBatch:
+    results, texts = [], []
+    for w, _, found in pieces:
+        for r, c in enumerate(w.counts.tolist()):
+            spans, ids = found.get(r, ((), ()))
+            spans = _merged(spans)
+            results.append({"n_words": c, "n_hit": sum(y - x + 1 for x, y in spans), "items": sorted(ids), "spans": [{"first": x, "last": y} for x, y in spans]})
+            if cut:
+                texts.append(_without(w, r, spans) if spans else None)
+    columns = list(batch.columns)
+    if any(x is not None for x in texts):
+        columns[at] = pa.array([t if x is None else x for t, x in zip(columns[at].to_pylist(), texts)], type=columns[at].type)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(results, type=_ARROW)], names=[*batch.schema.names, into])
+
+
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for x, y in sorted(spans):

@@ -87,8 +87,17 @@ _held: dict[str, np.ndarray] = {}
 _HELD_BYTES = 256 << 20
 
 
-def array(path: str, kind) -> np.ndarray:
-    """A file's numbers: mapped where open() reaches the shared folder, else read, with a bound on what is held."""
+def array(path: str, kind, keep: bool = True) -> np.ndarray:
+    """A file's numbers: mapped where open() reaches the shared folder, else read, with a bound on what is kept."""
+    if not keep:
+        at = local(path)
+        if at is not None:
+            return np.fromfile(at, kind)
+        from pyarrow import fs
+
+        store, there = fs.FileSystem.from_uri(path)
+        with store.open_input_file(there) as source:
+            return np.frombuffer(source.read(), kind)
     if path in _held:
         return _held[path]
     at = local(path)

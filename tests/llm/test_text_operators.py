@@ -97,6 +97,26 @@ def test_decontamination(spark, monkeypatch, block):
     assert dc.find_contamination(docs.limit(0), bench).count() == 0 and dc.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_benchmarks_of_one_session(spark, monkeypatch, block):
+    """Workers serve many jobs: none may see the items of another."""
+    monkeypatch.setattr(dc, "BLOCK_BYTES", block)
+    monkeypatch.setattr(dc, "RUN_BYTES", 500)
+    for k in range(10):
+        items = [(j, " ".join(f"w{k}x{j}x{i}" for i in range(12))) for j in range(4)]
+        docs = spark.createDataFrame([(j, f"before {t} after") for j, t in items] + [(9, "nothing of it")], "doc_id long, text string").coalesce(1)
+        found = dc.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.contamination.n_hit, *r.contamination["items"]) for r in found} == {*((j, 12, str(j)) for j in range(4)), (9, 0)}
+
+
+def test_contamination_in_a_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(10))
+    long = "plain words here " * 200_000
+    docs = spark.createDataFrame([(1, long + item + " " + long), (2, long)], "doc_id long, text string")
+    found = {r.doc_id: r.contamination for r in dc.find_contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).drop("text").collect()}
+    assert found[1].n_words == 1_200_010 and found[1].spans == [(600_000, 600_009)] and found[2].n_hit == 0
+
+
 def test_quality_edges(spark):
     good = "The house of the river and the hill is in a valley. " * 1 + " ".join(f"word{i} of the place{i}" for i in range(30)) + "."
     rows = [(1, good), (2, None), (3, ""), (4, "a b " * 200), (5, "| x " * 60), (1, good), (6, "\n".join([good] * 5)), (7, "\n \x0b\f" + "é" * 9)]
