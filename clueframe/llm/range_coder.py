@@ -1,248 +1,255 @@
 """An adaptive context-mixing range coder for runs of token ids.
 
-Ids are cut into blocks of ``BLOCK``, each coded from a fresh state, so that blocks
-are decoded on their own; many blocks are coded side by side, one id of each at a
-step.  For each id:
-
-* order 2 (a table on the last two ids) and order 1 (on the last one) each predict an
-  id with a confidence of 0 to 3; a slot's prediction changes once its confidence is used up;
-* the two confidences, and whether both predict the same id, choose a set of adaptive
-  frequencies for "order 2 is right", "order 1 is right" and "neither", which mixes them;
-* for "neither", order 0 gives the id: adaptive frequencies of id // 256, refreshed
-  every ``REFRESH`` ids, and the rest uniformly.
-
-The coder is a carry-less 64-bit range coder that puts out 16 bits at a time.  All of it
-is integer arithmetic.  Ids are below 65536.
+Ids are cut into equal blocks of at most ``BLOCK``, each coded from a fresh state and checksummed, so that
+blocks are decoded on their own.  A block names its distinct ids first; in what follows they
+go by their places in that list, so that ids may be of any 32-bit value.  Within a block
+``LANES`` runs of ids are coded side by side, one id of each at a step, under one model that
+all of them teach:
+
+* order 0: adaptive frequencies over all of the block's ids, taken anew at steps that
+  lie further and further apart, up to ``REFRESH``,
+* order 1 (by the last id) and order 2 (by a hash of the last two) each predict an
+  id with a confidence of 0 to 3; a context's prediction changes once its confidence is used up,
+* the three are mixed: P(x) = u0 P0(x) + u1 [x = prediction 1] + u2 [x = prediction 2].  The weights
+  belong to the pair of confidences and to whether the predictions agree, and are the adaptive shares
+  of the steps in which the order in question was the highest that was right.
+
+The coder is a range coder with a 48-bit low end, carries, and 16 bits put out at a time.  All of it is integer
+arithmetic, save one quotient of integers below 2^53 whose floor doubles give exactly.
 """
 
 from __future__ import annotations
 
 import struct
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 
-BLOCK = 2048
-REFRESH = 64
-MAGIC = b"CFTK\x00\x01"
-_SLOTS2, _SLOTS1 = 10, 9  # bits
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 32)
-_16, _48 = np.uint64(16), np.uint64(48)
-_LOW = np.uint64((1 << 32) - 1)
-
-
-class _State:
-    """The models of some blocks, side by side.
-
-    A slot of a table is id * 4 + confidence; a set of mixing frequencies is three 16-bit
-    fields of one word: order 2 is right, order 1 is right, neither.
-    """
-
-    def __init__(self, lanes: int):
-        self.lane2 = np.arange(lanes, dtype=np.int32) << _SLOTS2
-        self.lane1 = np.arange(lanes, dtype=np.int32) << _SLOTS1
-        self.lane0 = np.arange(lanes, dtype=np.int32) << 8
-        self.lane_c = np.arange(lanes, dtype=np.int32) * 257
-        self.lane_m = np.arange(lanes, dtype=np.int32) << 5
-        self.table2 = np.zeros(lanes << _SLOTS2, np.int32)
-        self.table1 = np.zeros(lanes << _SLOTS1, np.int32)
-        self.mixing = np.full(lanes << 5, 4 | 2 << 16 | 10 << 32, np.int64)
-        self.order0 = np.ones((lanes, 256), np.int32)
-        self.cumulative = np.zeros((lanes, 257), np.int32)
-        self.flat0, self.flat_c = self.order0.reshape(-1), self.cumulative.reshape(-1)
-        self.one = np.zeros(lanes, np.int32)
-        self.two = np.zeros(lanes, np.int32)
-        self.refresh()
-
-    def refresh(self) -> None:
-        np.cumsum(self.order0, axis=1, out=self.cumulative[:, 1:])
-        m = self.mixing
-        full = np.flatnonzero((m & _FIELD) + (m >> 16 & _FIELD) + (m >> 32) > 4000)
-        if len(full):
-            x = m[full]
-            m[full] = ((x & _FIELD) + 1 >> 1) | ((x >> 16 & _FIELD) + 1 >> 1) << 16 | ((x >> 32) + 1 >> 1) << 32
-
-    def predict(self, n: int):
-        """The ids that order 2 and order 1 predict, and the frequencies of the three events."""
-        one = self.one[:n]
-        h = one * _HASH
-        self.slot1 = (h >> 11 & ((1 << _SLOTS1) - 1)) + self.lane1[:n]
-        self.slot2 = ((h + self.two[:n]) * _HASH >> 9 & ((1 << _SLOTS2) - 1)) + self.lane2[:n]
-        self.e2, self.e1 = self.table2.take(self.slot2), self.table1.take(self.slot1)
-        p2, p1 = self.e2 >> 2, self.e1 >> 2
-        self.at = ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (p2 == p1)) + self.lane_m[:n]
-        self.mix = self.mixing.take(self.at)
-        return p2, p1, self.mix & _FIELD, self.mix >> 16 & _FIELD, self.mix >> 32
-
-    def learn(self, n: int, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, event: np.ndarray) -> None:
-        self.mixing[self.at] = self.mix + _ADD.take(event)
-        fresh = ids << 2
-        for table, slot, e, right in ((self.table2, self.slot2, self.e2, right2), (self.table1, self.slot1, self.e1, right1)):
-            sure = e & 3
-            table[slot] = np.where(right, e + (sure < 3), np.where(sure > 0, e - 1, fresh))
-        self.two[:n] = self.one[:n]
-        self.one[:n] = ids
-
-
-_FIELD = np.int64(0xFFFF)
-_HASH = np.int32(0x2F0B4C47)
-_ADD = np.array([24, 24 << 16, 24 << 32], np.int64)
-
-
-def _split(f2, f1, right2, right1):
-    """Where an event begins among the three, its size, and its number."""
-    event = np.where(right2, 0, np.where(right1, 1, 2))
-    return event, np.where(right2, 0, np.where(right1, f2, f2 + f1))
-
-
-def _normal(low, rng):
-    """Lanes that put out 16 bits now, or None."""
-    out = (low ^ (low + rng)) < _TOP
-    short = ~out & (rng < _BOT)
-    if short.any():
-        rng[short] = (np.uint64(0) - low[short]) & _LOW
-        out |= short
-    return np.flatnonzero(out) if out.any() else None
-
-
-def _lanes(ids: np.ndarray):
-    n = -(-len(ids) // BLOCK)
-    grid = np.zeros(n * BLOCK, np.int32)
-    grid[: len(ids)] = ids
-    return n, np.ascontiguousarray(grid.reshape(n, BLOCK).T), len(ids) - (n - 1) * BLOCK
+BLOCK = 1 << 21
+LANES = 4096
+REFRESH = 48
+#: A lane has at least that many ids, so that short runs have few lanes.
+LEAST_STEPS = 256
+MAGIC = b"CFTK\x00\x02"
+_SLOTS2 = 18  # bits
+_WEIGHTS = 10  # bits: the three weights of a set add up to 2^10
+_LEAST, _MASK = 1 << 32, (1 << 48) - 1
+
+
+class _Model:
+    """What both sides know of a block: D ids, whose places the orders predict."""
+
+    def __init__(self, ids: int, lanes: int):
+        self.ids, self.bits = ids, max(16, int(ids).bit_length() + 2)
+        self.counts = np.ones(ids, np.int64)
+        self.table1 = np.zeros(ids, np.int64)  # place * 4 + confidence
+        self.table2 = np.zeros(1 << _SLOTS2, np.int64)
+        self.events = np.tile(np.array([2, 2, 4], np.int64), (32, 1))
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.met: list[np.ndarray] = []
+        self.due, self.step = 1, 0
+        self.take_frequencies()
+        self.take_weights()
+
+    def take_frequencies(self) -> None:
+        spare = (1 << self.bits) - self.ids
+        f = self.counts * spare // int(self.counts.sum()) + 1
+        f[int(np.argmax(f))] += (1 << self.bits) - int(f.sum())
+        self.size0 = f
+        self.start0 = np.cumsum(f) - f
+        self.whole = np.repeat(np.arange(self.ids, dtype=np.int32), f)
+
+    def take_weights(self) -> None:
+        total = self.events.sum(axis=1, keepdims=True)
+        w = self.events * ((1 << _WEIGHTS) - 3) // total + 1
+        w[:, 2] += (1 << _WEIGHTS) - w.sum(axis=1)
+        self.weight2, self.weight1, self.weight0 = w[:, 0] << self.bits, w[:, 1] << self.bits, w[:, 2].copy()
+        big = self.events.sum(axis=1) > 1 << 16
+        self.events[big] = (self.events[big] + 1) >> 1
+
+    def predict(self, n: int) -> None:
+        """Predictions and weights for the next id of the first n lanes."""
+        one, two = self.one[:n], self.two[:n]
+        self.slot2 = ((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 11) & ((1 << _SLOTS2) - 1)
+        self.e1, self.e2 = self.table1.take(one), self.table2.take(self.slot2)
+        self.m1, self.m2 = self.e1 >> 2, self.e2 >> 2
+        self.c1, self.c2 = self.e1 & 3, self.e2 & 3
+        self.set = (self.c2 << 3) + (self.c1 << 1) + (self.m1 == self.m2)
+        self.w2, self.w1, self.w0 = self.weight2.take(self.set), self.weight1.take(self.set), self.weight0.take(self.set)
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids x among 2^(bits + 10)."""
+        self.right1, self.right2 = self.m1 == x, self.m2 == x
+        start = self.w0 * self.start0.take(x) + self.w1 * (self.m1 < x) + self.w2 * (self.m2 < x)
+        return start, self.w0 * self.size0.take(x) + self.w1 * self.right1 + self.w2 * self.right2
+
+    def at(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold v: first the two predictions' shares are taken out, in order of place."""
+        swap = self.m1 > self.m2
+        low, high = np.minimum(self.m1, self.m2), np.maximum(self.m1, self.m2)
+        w_low = np.where(swap, self.w2, self.w1)
+        w_high = self.w1 + self.w2 - w_low
+        v = v - np.minimum(np.maximum(v - self.w0 * self.start0.take(low), 0), w_low)
+        v -= np.minimum(np.maximum(v - self.w0 * self.start0.take(high), 0), w_high)
+        return self.whole.take((v / self.w0).astype(np.int64)).astype(np.int64)
+
+    def learn(self, x: np.ndarray) -> None:
+        """The ids of this step; ``interval`` was asked for them."""
+        n = len(x)
+        fresh = x << 2
+        self.table1[self.one[:n]] = np.where(self.right1, np.minimum(self.e1 + 1, self.e1 | 3), np.where(self.c1 > 0, self.e1 - 1, fresh))
+        self.table2[self.slot2] = np.where(self.right2, np.minimum(self.e2 + 1, self.e2 | 3), np.where(self.c2 > 0, self.e2 - 1, fresh))
+        event = np.where(self.right2, 0, 2 - self.right1)
+        self.met.append(x)
+        self.events += np.bincount(self.set * 3 + event, minlength=96).reshape(32, 3)
+        self.two[:n], self.one[:n] = self.one[:n], x
+        self.step += 1
+        if self.step & 3 == 0 or self.step < 16:
+            self.take_weights()
+        if self.step == self.due:
+            self.counts += np.bincount(np.concatenate(self.met), minlength=self.ids) * 32
+            self.met.clear()
+            self.due += min(REFRESH, self.due)
+            self.take_frequencies()
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """(lanes, steps) of a block of n ids; the last lanes may be short or empty."""
+    lanes = max(1, min(LANES, n // LEAST_STEPS))
+    steps = -(-n // lanes)
+    return -(-n // steps), steps
+
+
+def _named(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and each id's place among them."""
+    top = int(ids.max()) + 1
+    if top > 1 << 22:
+        names, places = np.unique(ids.astype(np.uint32), return_inverse=True)
+        return names, places.reshape(-1)
+    there = np.zeros(top, bool)
+    there[ids] = True
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there) - 1).take(ids)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """A block: its distinct ids, the size of each lane's code, and the codes."""
+    names, places = _named(ids)
+    lanes, steps = _shape(len(ids))
+    grid = np.zeros(lanes * steps, np.int64)
+    grid[: len(ids)] = places
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    tail = len(ids) - (lanes - 1) * steps
+    model = _Model(len(names), lanes)
+    k = model.bits + _WEIGHTS
+    wide = 2 * steps + 8
+    out = np.zeros(lanes * wide, np.uint16)
+    home = np.arange(lanes, dtype=np.int64) * wide
+    pos = home.copy()
+    low, rng = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
+    for t in range(steps):
+        n = lanes if t < tail else lanes - 1
+        x = grid[t, :n]
+        model.predict(n)
+        start, size = model.interval(x)
+        l, g, p = low[:n], rng[:n], pos[:n]
+        g >>= k
+        l += start * g
+        g *= size
+        carry = l > _MASK
+        if carry.any():
+            l &= _MASK
+            at = p[carry] - 1
+            while len(at):  # into what is put out already
+                out[at] += 1
+                at = at[out[at] == 0] - 1
+        while (short := g < _LEAST).any():
+            out[p] = l >> 32
+            p += short
+            shift = short.astype(np.int64) << 4
+            l <<= shift
+            l &= _MASK
+            g <<= shift
+        model.learn(x)
+    for _ in range(3):
+        out[pos] = low >> 32
+        pos += 1
+        low = (low << 16) & _MASK
+    tables = np.concatenate([np.diff(names, prepend=names[:1]), pos - home]).astype("<u4")
+    tables = compress(tables.tobytes(), 6)
+    codes = [out[h:p] for h, p in zip(home.tolist(), pos.tolist())]
+    return b"".join([struct.pack("<IIII", len(names), int(names[0]), len(tables), lanes), tables, np.concatenate(codes).astype("<u2").tobytes()])
+
+
+def decode_block(data, n: int) -> np.ndarray:
+    """The n ids of a block."""
+    count, first, size, lanes = struct.unpack_from("<IIII", data)
+    if (lanes, -(-n // lanes)) != _shape(n):
+        raise ValueError("not the lanes of a block of this size")
+    steps = -(-n // lanes)
+    tables = np.frombuffer(decompress(data[16 : 16 + size]), "<u4")
+    if len(tables) != count + lanes:
+        raise ValueError("not the tables of the block")
+    names = first + np.cumsum(tables[:count], dtype=np.int64)
+    ends = np.cumsum(tables[count:], dtype=np.int64)
+    words = np.zeros(int(ends[-1]) + 4, np.int64)
+    words[:-4] = np.frombuffer(data, "<u2", int(ends[-1]), 16 + size)
+    pos = ends - np.diff(ends, prepend=0)
+    code = np.zeros(lanes, np.int64)
+    for _ in range(3):
+        code = (code << 16) | words.take(pos)
+        pos += 1
+    rng = np.full(lanes, _MASK, np.int64)
+    model = _Model(count, lanes)
+    k = model.bits + _WEIGHTS
+    tail = n - (lanes - 1) * steps
+    grid = np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        m = lanes if t < tail else lanes - 1
+        model.predict(m)
+        c, g, p = code[:m], rng[:m], pos[:m]
+        g >>= k
+        x = model.at((c / g).astype(np.int64))
+        start, size = model.interval(x)
+        c -= start * g
+        g *= size
+        while (short := g < _LEAST).any():
+            shift = short.astype(np.int64) << 4
+            c <<= shift
+            c |= words.take(p, mode="clip") * short
+            p += short
+            g <<= shift
+        grid[t, :m] = x
+        model.learn(x)
+    return names.take(np.ascontiguousarray(grid.T).reshape(-1)[:n]).astype(np.uint32)
+
+
+def _sizes(n: int) -> list[int]:
+    """Sizes of the blocks of a run of n ids."""
+    blocks = -(-n // BLOCK)
+    return [n // blocks + (i < n % blocks) for i in range(blocks)]
+
+
+def _check(ids: np.ndarray) -> int:
+    return crc32(np.ascontiguousarray(ids).astype("<u4").tobytes())
 
 
 def encode(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
     """The coded blocks of a run of ids, and a checksum of the ids of each."""
-    if not len(ids):
-        return [], []
-    if int(ids.max()) >= 1 << 16 or int(ids.min()) < 0:
-        raise ValueError("ids must be below 65536")
-    lanes, grid, tail = _lanes(ids)
-    s = _State(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out = np.zeros((lanes, 2 * BLOCK + 8), np.uint16)
-    pos = np.zeros(lanes, np.int64)
-
-    def put(low, rng, which):
-        while (m := _normal(low, rng)) is not None:
-            k = m if which is None else which[m]
-            out[k, pos[k]] = low[m] >> _48
-            pos[k] += 1
-            low[m] <<= _16
-            rng[m] <<= _16
-
-    for t in range(min(BLOCK, len(ids)) if lanes == 1 else BLOCK):
-        n = lanes if t < tail else lanes - 1
-        x = grid[t, :n]
-        p2, p1, f2, f1, f0 = s.predict(n)
-        right2, right1 = p2 == x, p1 == x
-        event, begin = _split(f2, f1, right2, right1)
-        size = np.where(right2, f2, np.where(right1, f1, f0))
-        l, r = low[:n], rng[:n]
-        part = r // (f2 + f1 + f0).view(np.uint64)
-        l += part * begin.view(np.uint64)
-        np.multiply(part, size.view(np.uint64), out=r)
-        put(l, r, None)
-        e = np.flatnonzero(event == 2)
-        if len(e):
-            y = x[e]
-            hi = y >> 8
-            base = s.lane_c[e]
-            begin = s.flat_c.take(base + hi)
-            width = (s.flat_c.take(base + hi + 1) - begin).astype(np.uint64)
-            l, r = low[e], rng[e]
-            part = (r >> np.uint64(8)) // s.flat_c.take(base + 256).astype(np.uint64)
-            l += part * ((begin.astype(np.uint64) << np.uint64(8)) + width * (y & 255).astype(np.uint64))
-            r = part * width
-            put(l, r, e)
-            low[e], rng[e] = l, r
-            s.flat0[s.lane0[e] + hi] += 8
-        s.learn(n, x, right2, right1, event)
-        if t % REFRESH == REFRESH - 1:
-            s.refresh()
-    for k in range(4):
-        out[np.arange(lanes), pos] = low >> _48
-        pos += 1
-        low <<= _16
-    blocks = [out[i, : pos[i]].astype("<u2").tobytes() for i in range(lanes)]
-    return blocks, [crc32(np.ascontiguousarray(ids[i * BLOCK : (i + 1) * BLOCK]).astype("<u4").tobytes()) for i in range(lanes)]
+    runs = np.split(ids, np.cumsum(_sizes(len(ids)))[:-1]) if len(ids) else []
+    return [encode_block(x) for x in runs], [_check(x) for x in runs]
 
 
 def decode(blocks: list, sizes: list[int], checks: list[int]) -> np.ndarray:
-    """The ids of coded blocks; all but the last are full.  A block whose checksum differs raises ValueError."""
-    lanes = len(blocks)
-    if not lanes:
-        return np.zeros(0, np.uint32)
-    words = [np.frombuffer(b, "<u2") for b in blocks]
-    longest = max(map(len, words))
-    code_in = np.zeros((lanes, longest + 4), np.uint64)
-    for i, w in enumerate(words):
-        code_in[i, : len(w)] = w
-    s = _State(lanes)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = (code << _16) | code_in[:, k]
-    pos = np.full(lanes, 4)
-    steps, tail = max(sizes), sizes[-1]
-    grid = np.zeros((steps, lanes), np.int32)
-
-    def take(low, rng, code, which):
-        while (m := _normal(low, rng)) is not None:
-            k = m if which is None else which[m]
-            code[m] = (code[m] << _16) | code_in[k, np.minimum(pos[k], longest + 3)]
-            pos[k] += 1
-            low[m] <<= _16
-            rng[m] <<= _16
-
-    for t in range(steps):
-        n = lanes if t < tail else lanes - 1
-        p2, p1, f2, f1, f0 = s.predict(n)
-        l, r, c = low[:n], rng[:n], code[:n]
-        part = r // (f2 + f1 + f0).view(np.uint64)
-        v = ((c - l) // part).view(np.int64)
-        right2 = v < f2
-        right1 = ~right2 & (v < f2 + f1)
-        event, begin = _split(f2, f1, right2, right1)
-        size = np.where(right2, f2, np.where(right1, f1, f0))
-        l += part * begin.view(np.uint64)
-        np.multiply(part, size.view(np.uint64), out=r)
-        take(l, r, c, None)
-        x = np.where(right2, p2, p1)
-        e = np.flatnonzero(event == 2)
-        if len(e):
-            base = s.lane_c[e]
-            total = s.flat_c.take(base + 256).astype(np.uint64)
-            l, r, c = low[e], rng[e], code[e]
-            part = (r >> np.uint64(8)) // total
-            v = np.minimum((c - l) // part, (total << np.uint64(8)) - np.uint64(1)).view(np.int64)
-            want = (v >> 8).astype(np.int32)
-            at = base.copy()
-            for step in (128, 64, 32, 16, 8, 4, 2, 1):  # the last entry not over what is wanted
-                at += step * (s.flat_c.take(at + step) <= want)
-            hi = at - base
-            begin = s.flat_c.take(at)
-            width = (s.flat_c.take(at + 1) - begin).astype(np.int64)
-            begin = begin.astype(np.int64) << 8
-            y = np.minimum((v - begin) // width, 255)
-            l += part * (begin + width * y).view(np.uint64)
-            r = part * width.view(np.uint64)
-            take(l, r, c, e)
-            low[e], rng[e], code[e] = l, r, c
-            x[e] = (hi << 8) | y
-            s.flat0[s.lane0[e] + hi] += 8
-        grid[t, :n] = x
-        s.learn(n, x, p2 == x, p1 == x, event)
-        if t % REFRESH == REFRESH - 1:
-            s.refresh()
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[: sum(sizes)].astype(np.uint32)
-    at = 0
-    for k, (n, check) in enumerate(zip(sizes, checks, strict=True)):
-        if crc32(ids[at : at + n].astype("<u4").tobytes()) != check:
+    """The ids of coded blocks.  A block that can't be read, or whose checksum differs, raises ValueError."""
+    out = []
+    for k, (block, n, check) in enumerate(zip(blocks, sizes, checks, strict=True)):
+        try:
+            out.append(decode_block(block, n))
+        except Exception as e:
+            raise ValueError(f"block {k}: damaged") from e
+        if _check(out[-1]) != check:
             raise ValueError(f"block {k}: the checksum differs")
-        at += n
-    return ids
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
 _HEAD = struct.Struct("<6sIQII")
@@ -284,5 +291,4 @@ def unpack(data) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     at += 4
     ends = at + np.cumsum(sizes, dtype=np.int64)
     blocks = [data[e - int(s) : e] for s, e in zip(sizes, ends.tolist())]
-    counts = [BLOCK] * (n - 1) + [tokens - (n - 1) * BLOCK] * (n > 0)
-    return [None if z else int(x) for x, z in zip(ids, null)], lengths.astype(np.int64), decode(blocks, counts, checks.tolist())
+    return [None if z else int(x) for x, z in zip(ids, null)], lengths.astype(np.int64), decode(blocks, _sizes(tokens), checks.tolist())

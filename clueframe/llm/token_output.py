@@ -13,13 +13,17 @@ for each document.  An empty table makes a folder without segments.
 
 Where the tokenizer drops white space before its model sees a word, and so gives a text
 the ids of its ``[^\\x20\\x09-\\x0D]+`` parts one after another, each distinct part of a
-batch is encoded once; other tokenizers get whole texts.
+batch is encoded once; other tokenizers get whole texts.  Parts are found by a 64-bit hash and
+compared byte by byte; one that differs from the part of its hash is encoded by itself.  Where the
+tokenizer's own rules for cutting a part are ``_RULES``, parts of common characters are cut here
+and their pieces given to the library's model, which saves the library's bookkeeping.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from zlib import crc32
 
 import numpy as np
@@ -32,11 +36,33 @@ from .shared import arrow_batches, fresh
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-SEGMENT_IDS = 3_000_000
+SEGMENT_IDS = 4_000_000
 _MOST_PARTS = 1_000_000
+_MOST_PIECES = 300_000
 _PIECE = 2 << 20
 _SEPARATOR = "<|startoftext|>"
 
+# The rules of a tokenizer that lower-cases and cuts a part into runs of letters, single digits and runs of other signs.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Letters that are composed, and whose lower case is one of them.
+_LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F"
+#: Parts of these letters, digits and signs but the apostrophe; special tokens begin with "<|".
+_COMMON = re.compile(rf"(?!.*<\|)[{_LETTERS}0-9!-&(-/:-@\[-`{{-~]+")
+_PIECES = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The sign by which a byte-level vocabulary writes each byte: itself, or the next from 256.
+_SIGNS = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+
 _SEGMENTS = "shard int, segment int, start long, n_docs long, n_tokens long, payload binary"
 
 
@@ -61,6 +87,8 @@ class Encoder:
         self.by_part = self._drops_space(spec)
         special = [t for t in spec["added_tokens"] if t["content"] == _SEPARATOR and not t["normalized"]]
         self.separator = special[0]["id"] if special else None
+        self.quick = all(spec.get(k) == x for k, x in _RULES.items()) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.forget()
 
     @staticmethod
@@ -74,12 +102,38 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint16)
+        self.bytes, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some parts in one array, and the count of each."""
+        if not self.quick:
+            return self._by_library(texts)
+        if len(self.pieces) > _MOST_PIECES:
+            self.pieces.clear()
+        ids, counts, rest = [], np.zeros(len(texts), np.int64), []
+        known, tokenize = self.pieces, self.tokenizer.model.tokenize
+        for i, t in enumerate(texts):
+            if _COMMON.fullmatch(t):
+                before = len(ids)
+                for p in _PIECES.findall(t.lower()):
+                    got = known.get(p)
+                    if got is None:
+                        got = known[p] = tuple([x.id for x in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_SIGNS))])
+                    ids += got
+                counts[i] = len(ids) - before
+            else:
+                rest.append(i)
+        flat = np.array(ids, np.uint32)
+        if rest:
+            more, n = self._by_library([texts[i] for i in rest])
+            flat = np.insert(flat, np.repeat((np.cumsum(counts) - counts)[rest], n), more)
+            counts[rest] = n
+        return flat, counts
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.separator is None:
             got = self.whole(texts)
             return np.concatenate(got) if got else self.ids, np.array([len(x) for x in got], np.int64)
@@ -111,10 +165,12 @@ class Encoder:
                 lengths = np.array([len(x) + 1 for x in got], np.int64)
                 yield np.concatenate([y for x in got for y in (x, [end_id])]).astype(np.uint32), lengths
                 continue
-            keys, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+            keys, first, back = _distinct(w.hashes())
             self.learn(keys, first, w)
-            at = np.searchsorted(self.keys, keys)
-            start, count = self.start[at][back], self.count[at][back]
+            at = np.searchsorted(self.keys, keys)[back]
+            start, count = self.start[at], self.count[at]
+            for i in self._others(w, at):
+                start[i], count[i] = len(self.ids), self._add(*self.parts([w.data[w.starts[i] : w.ends[i]].tobytes().decode()]))[1][0]
             ends = np.concatenate([[0], np.cumsum(count)])
             lengths = ends[w.rows[1:]] - ends[w.rows[:-1]] + 1
             out = np.empty(int(ends[-1]) + n, np.uint32)
@@ -131,13 +187,43 @@ class Encoder:
         new = np.ones(len(keys), bool) if not len(self.keys) else self.keys[at.clip(max=len(self.keys) - 1)] != keys
         if not new.any():
             return
-        places = first[new]
-        ids, count = self.parts([w.data[a:b].tobytes().decode() for a, b in zip(w.starts[places].tolist(), w.ends[places].tolist())])
+        begin, end = w.starts[first[new]], w.ends[first[new]]
+        raw = w.data.tobytes()
+        start, count = self._add(*self.parts([raw[a:b].decode() for a, b in zip(begin.tolist(), end.tolist())]))
+        size = end - begin
+        place = len(self.bytes) + np.cumsum(size) - size
+        self.bytes = np.concatenate([self.bytes, w.data[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())]])
+        self.keys = np.insert(self.keys, at[new], keys[new])
+        for name, x in (("start", start), ("count", count), ("at", place), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at[new], x))
+
+    def _add(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of some parts begin in ``ids``, and their counts."""
         start = len(self.ids) + np.cumsum(count) - count
         self.ids = np.concatenate([self.ids, ids.astype(np.uint16) if not len(ids) or ids.max() < 65536 else ids])
-        self.keys = np.insert(self.keys, at[new], keys[new])
-        self.start = np.insert(self.start, at[new], start)
-        self.count = np.insert(self.count, at[new], count)
+        return start, count
+
+    def _others(self, w: scan.Words, at: np.ndarray) -> list[int]:
+        """The words whose bytes aren't those of the part ``at`` which their hash names."""
+        size = w.ends - w.starts
+        other = size != self.size[at]
+        size = np.where(other, 0, size)
+        steps = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        differs = w.data[np.repeat(w.starts, size) + steps] != self.bytes[np.repeat(self.at[at], size) + steps]
+        if differs.any():
+            other[np.repeat(np.arange(len(size)), size)[differs]] = True
+        return np.flatnonzero(other).tolist()
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, where one of each stands, and the place of each hash among them."""
+    order = np.argsort(h)
+    x = h[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[new], order[new], back
 
 
 _encoders: dict[str, Encoder] = {}
