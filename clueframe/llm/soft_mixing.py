@@ -6,13 +6,18 @@ r_d >= 0 minimise the weighted squared distance between the domains' expected sh
 S_k = sum_d r_d n_d p_dk / N and their targets.  Projected gradient from r = 1 in the metric
 of the documents' token shares:
 
-    r_d <- max(0, r_d - sum_k p_dk u_k),   u = A^+ (S - target),   A = sum_d n_d p_d p_d^T / N
+    r_d <- max(least, r_d - sum_k p_dk u_k),   u = A^+ (S - target),   A = sum_d n_d p_d p_d^T / N
 
-where A^+ makes the step length 1 safe and convergence quick.  A rate depends on its
-document's posteriors and the short history of u alone, so that each round is one
-aggregate over the posteriors (written once, a few numbers a document) and no rates are
+where A^+ makes the step length 1 safe.  As the bound holds more and more documents, longer steps
+are better: a step that closes the gap lets the next one be longer, one that doesn't is taken back.
+A rate depends on its document's posteriors and the short history of u alone, so that each round
+is one aggregate over the posteriors (written once, a few numbers a document) and no rates are
 ever stored, joined or sent to the driver.
 
+``least`` (0 to 1) is a rate that every document has at least: with 1 a mixture is made by repeats alone.
+Rounds end when each domain is within ``TOLERANCE`` of its own target; where that can't be
+reached, or takes more than ``ROUNDS``, a warning names the shares reached.
+
 The targets are shares of ``anchor``'s tokens over its own target, so that the anchor's
 documents keep a rate near 1; without an anchor they are shares of all tokens.
 
@@ -24,6 +29,7 @@ then missed by as little as possible.  Rows are independent, so repeated rows ge
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -37,8 +43,9 @@ from .shared import stored
 
 DOMAINS = ("clean", "toxic", "poor")
 TARGETS = {"clean": 0.90, "toxic": 0.02, "poor": 0.08}
-ROUNDS = 40
-TOLERANCE = 2e-3
+ROUNDS = 60
+#: Of a domain's own target.
+TOLERANCE = 5e-3
 L2 = 1e-4
 
 
@@ -113,61 +120,79 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text", into: st
     return docs.mapInArrow(_member(sent, text, into), schema)
 
 
-def rate(posteriors: Column, history: Sequence[Sequence[float]]) -> Column:
+def rate(posteriors: Column, history: Sequence[Sequence[float]], least: float = 0.0) -> Column:
     """The rate that a history of steps gives to a document."""
     r = F.lit(1.0)
     if not history:
         return r
     steps = F.array(*(F.array(*(F.lit(float(x)) for x in u)) for u in history))
     dot = lambda u: F.aggregate(F.zip_with(posteriors, u, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, r, lambda a, u: F.greatest(F.lit(0.0), a - dot(u)))
+    return F.aggregate(steps, r, lambda a, u: F.greatest(F.lit(float(least)), a - dot(u)))
 
 
-def fit_rates(members: DataFrame, targets: Sequence[float], anchor: int | None = None, rounds: int = ROUNDS) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+def fit_rates(members: DataFrame, targets: Sequence[float], anchor: int | None = None, rounds: int = ROUNDS, least: float = 0.0) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(history of steps, reached shares, aimed shares) over rows n_tokens, posteriors."""
+    if not 0 <= least <= 1:
+        raise ValueError("least: 0 to 1")
     k = len(targets)
     p = lambda i: F.col("posteriors")[i]
     n = F.col("n_tokens").cast("double")
-    first = members.agg(F.sum(n).alias("n"), *(F.sum(n * p(i) * p(j)).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(n * p(i)).alias(f"s{i}") for i in range(k))).first()
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def shares(history) -> np.ndarray:
+        x = members.select("n_tokens", "posteriors", rate(F.col("posteriors"), history, least).alias("r"))
+        got = x.agg(*(F.sum(n * F.col("r") * p(i)).alias(f"s{i}") for i in range(k))).first()
+        return np.array([got[f"s{i}"] for i in range(k)]) / total
+
+    first = members.agg(F.sum(n).alias("n"), *(F.sum(n * p(i) * p(j)).alias(f"a{i}_{j}") for i, j in pairs)).first()
     total = first.n or 0.0
     if not total:
         return [], np.zeros(k), np.zeros(k)
     gram = np.array([[first[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / total
-    share = np.array([first[f"s{i}"] for i in range(k)]) / total
+    metric = np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+    share = shares([])
     goal = np.array(targets, float) / sum(targets)
     if anchor is not None and goal[anchor] > 0:
         goal = goal * (share[anchor] / goal[anchor])
-    step = np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
+    near = TOLERANCE * np.where(goal > 0, goal, goal[goal > 0].min())
     history: list[list[float]] = []
+    length = 1.0
     for _ in range(rounds):
         gap = share - goal
-        if np.abs(gap).max() <= TOLERANCE * max(goal.max(), 1e-12):
+        if (np.abs(gap) <= near).all():
             break
-        u = step @ gap
-        if history and np.abs(u).max() <= 1e-9:
+        step = metric @ gap
+        new = shares([*history, (length * step).tolist()])
+        if length > 1 and (new - goal) @ metric @ (new - goal) > gap @ step:
+            length = max(1.0, length / 4)
+            continue
+        history.append((length * step).tolist())
+        still = np.abs(new - share).max() <= 1e-3 * near.min()
+        share, length = new, length * 1.6
+        if still:
             break
-        history.append([float(x) for x in u])
-        got = members.select("n_tokens", "posteriors", rate(F.col("posteriors"), history).alias("r")).agg(*(F.sum(n * F.col("r") * p(i)).alias(f"s{i}") for i in range(k))).first()
-        new = np.array([got[f"s{i}"] for i in range(k)]) / total
-        if history[1:] and np.abs(new - share).max() <= 1e-3 * TOLERANCE:
-            share = new
-            break
-        share = new
+    if (np.abs(share - goal) > near).any():
+        warnings.warn(f"shares reached: {share.round(6).tolist()}, aimed at: {goal.round(6).tolist()}", stacklevel=2)
     return history, share, goal
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float], anchor: str | None = "clean", rounding: str = "random", text: str = "text", rows: int = ht.SAMPLE) -> DataFrame:
+    """``mix_domains`` for the domains of a table of quality and toxic ratings."""
+    return mix_domains(docs, domains_of(labels), DOMAINS, targets, anchor, rounding, text, rows)
+
+
+def mix_domains(docs: DataFrame, labels: DataFrame, domains: Sequence[str], targets: Mapping[str, float], anchor: str | None = None, rounding: str = "random", text: str = "text", rows: int = ht.SAMPLE, least: float = 0.0) -> DataFrame:
     """``docs``, each row as many times as its rate says; same columns.
 
-    ``rounding``: "random" rounds up with the probability of the fraction (by a hash of
-    doc_id and text, the same on every run), "nearest" rounds to the nearest integer.
+    ``labels``: doc_id and label, an index into ``domains``.  ``rounding``: "random" rounds up with the
+    probability of the fraction (by a hash of doc_id and text, the same on every run), "nearest" rounds to the nearest integer.
     """
     own = "__membership"
-    goal = [float(targets.get(d, 0.0)) for d in DOMAINS]
-    with_posteriors = memberships(docs, train(docs, domains_of(labels), len(DOMAINS), rows, text), text, own)
+    goal = [float(targets.get(d, 0.0)) for d in domains]
+    with_posteriors = memberships(docs, train(docs, labels, len(domains), rows, text), text, own)
     members = stored(with_posteriors.select(f"{own}.n_tokens", f"{own}.posteriors"), "members")
-    history, _, _ = fit_rates(members, goal, DOMAINS.index(anchor) if anchor else None)
-    r = rate(F.col(f"{own}.posteriors"), history)
+    history, _, _ = fit_rates(members, goal, list(domains).index(anchor) if anchor else None, least=least)
+    r = rate(F.col(f"{own}.posteriors"), history, least)
     names = [F.col(f"`{c}`") for c in docs.columns]
     if rounding == "nearest":
         copies = F.floor(r + 0.5)

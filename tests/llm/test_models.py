@@ -89,6 +89,45 @@ def test_rates_reach_targets(spark):
         assert (rates >= 0).all() and np.allclose((rates * n / n.sum()) @ p, share, atol=1e-9)
         best = brute_rates(p, n, aim)
         assert np.abs(share - aim).max() <= np.abs(best - aim).max() + 0.02
+        assert min(goal) == 0 or (np.abs(share - aim) <= sm.TOLERANCE * aim).all()  # a share of none can't be reached
+
+
+def test_each_domain_is_held_to_its_own_target(spark):
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([3, 0.02, 0.1], 3000)
+    members = spark.createDataFrame([(100, x.tolist()) for x in p], "n_tokens long, posteriors array<double>")
+    history, share, aim = sm.fit_rates(members, [0.9, 0.002, 0.098])
+    assert (np.abs(share - aim) <= sm.TOLERANCE * aim).all()
+    p = 0.99 * np.eye(3)[rng.choice(3, 3000, p=[0.6, 0.15, 0.25])] + 0.01 / 3
+    pure = spark.createDataFrame([(100, x.tolist()) for x in p], "n_tokens long, posteriors array<double>")
+    history, share, aim = sm.fit_rates(pure, [0.5, 0.2, 0.3], 0, least=1.0)
+    rates = np.array([r.r for r in pure.select(sm.rate(F.col("posteriors"), history, 1.0).alias("r")).collect()])
+    assert rates.min() >= 1 and (np.abs(share - aim) <= sm.TOLERANCE * aim).all() and np.allclose(rates @ p / 3000, share)
+    with pytest.warns(UserWarning, match="shares reached"):
+        sm.fit_rates(members.where("posteriors[2] < 0.01"), [0.1, 0.1, 0.8])
+
+
+def test_query_of_mixing(spark):
+    """Rates of the query against plain projected gradient on its posteriors; these against labels that training hasn't seen."""
+    sf = "/root/testdata/sf0.01"
+    got = sm.op6_soft_mixing(spark, sf).orderBy("doc_id").collect()
+    p = np.array([[r[f"p_{d}"] for d in sm.DOMAINS] for r in got])
+    n = np.array([r.n_tokens for r in got], float)
+    rates = np.array([r.rate for r in got])
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert [r.n_tokens for r in got] == [len((texts[r.doc_id] or "").split(" ")) if not set(texts[r.doc_id] or "") & set("\t\n\x0b\x0c\r") else r.n_tokens for r in got]
+    assert np.allclose(p.sum(axis=1), 1) and np.allclose([r.expected_tokens for r in got], rates * n)
+    w = n / n.sum()
+    goal = np.array([sm.TARGETS[d] for d in sm.DOMAINS])
+    goal = goal * ((w @ p)[0] / goal[0])
+    assert np.abs((rates * w) @ p - goal).max() <= np.abs(brute_rates(p, n, goal) - goal).max() + sm.TOLERANCE * goal.max()
+    labels = {r.doc_id: r.label for r in sm.domains_of(spark.read.parquet(f"{sf}/labels.parquet")).collect() if r.label is not None}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 0")
+    model = sm.train(docs, sm.domains_of(spark.read.parquet(f"{sf}/labels.parquet")), 3)
+    unseen = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 2 = 1")
+    q = sm.memberships(unseen, model).collect()
+    right = [int(np.argmax(r.membership.posteriors)) == labels[r.doc_id] for r in q if r.doc_id in labels]
+    assert len(right) > 100 and np.mean(right) > 0.85
 
 
 def test_mixing(spark, planted):
