@@ -3,23 +3,27 @@
 1. quality: documents whose P(sound and not toxic) is under one half go,
 2. near duplicates (five-word shingles, similarity 0.8): one document of each group stays,
 3. decontamination: documents that hold a benchmark window go,
-4. mixing: rates for a corpus of the clean domain alone, to the nearest whole number of copies,
+4. mixing: languages, as told from the text, are brought to the weights of ``MIX`` by repeating
+   documents; every document stays once at least,
 5. tokens: the remaining documents' ids, written in range-coded segments and read back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clueframe.llm.decontaminate import decontaminate
 from clueframe.llm.near_dedup import deduplicate
 from clueframe.llm.ordinal_quality import select_quality
 from clueframe.llm.shared import fresh
-from clueframe.llm.soft_mixing import mix
+from clueframe.llm.soft_mixing import mix_domains
 from clueframe.llm.token_output import read_tokens, write_tokens
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIX = {"clean": 1.0}
+#: Target shares of the languages' tokens.  All but the anchor's are to grow, so that no document has to go.
+MIX = {"en": 0.50, "de": 0.20, "fr": 0.17, "es": 0.13}
+ANCHOR = "en"
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +43,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs, _labels(spark, sf_dir), MIX, anchor="clean", rounding="nearest")
+    domains = list(MIX)
+    lang = F.array_position(F.array(*(F.lit(x) for x in domains)), F.col("lang"))
+    labels = docs.select("doc_id", F.when(lang > 0, lang - 1).alias("label"))
+    return mix_domains(docs, labels, domains, MIX, anchor=ANCHOR, least=1.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
