@@ -4,7 +4,8 @@
 (null: empty) with a tokenizers-library file, appends ``end_id`` to each document and
 writes segments of whole documents (see ``range_coder``): a document's ids stand after
 those of all documents with a smaller doc_id.  Null doc_ids come first; rows that share
-a doc_id are ordered by text and all written.  Segments are rows of Parquet files, so
+a doc_id are ordered by text (by its first ``_PREFIX`` characters, then by a hash and all of it) and
+all written.  However many rows share a doc_id or a text, they are dealt to several ranges.  Segments are rows of Parquet files, so
 that Spark's commit makes a task's output whole or absent, and a shard is found by
 (shard, segment); each holds its documents' ids and lengths, block sizes and checksums.
 
@@ -40,6 +41,7 @@ SEGMENT_IDS = 4_000_000
 _MOST_PARTS = 1_000_000
 _MOST_PIECES = 300_000
 _PIECE = 2 << 20
+_PREFIX = 64
 _SEPARATOR = "<|startoftext|>"
 
 # The rules of a tokenizer that lower-cases and cuts a part into runs of letters, single digits and runs of other signs.
@@ -268,7 +270,9 @@ def _writer(vocabulary: str, end_id: int):
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, text: str = "text") -> None:
     """Write the ids of ``docs`` (doc_id, text) to a new folder."""
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    x = x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The last key tells equal rows apart: which of them comes first doesn't matter.
+    order = (F.col("doc_id"), F.substring("text", 1, _PREFIX), F.xxhash64("text"))
+    x = x.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order, "row").sortWithinPartitions(*order, "text").drop("row")
     with arrow_batches(docs.sparkSession, rows=1000):
         x.mapInArrow(_writer(vocabulary, end_id), _SEGMENTS).write.parquet(path)
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from clueframe.llm import range_coder as rc
 from clueframe.llm import token_output as to
@@ -59,6 +60,17 @@ def test_parts_have_the_library_ids(encoder, text):
         assert encoder.parts([part, "x"])[0].tolist()[:-1] == encoder.tokenizer.encode(part, add_special_tokens=False).ids
 
 
+def test_rows_of_one_id_are_dealt_to_many_ranges(spark, tmp_path):
+    rows = [(i, t) for i in (None, 7) for t in ["the same text"] * 300 + [f"{k} text" for k in range(300)]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check(spark, tmp_path, rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per = [r.n for r in spark.read.parquet(f"file://{tmp_path}/t").groupBy("shard").agg(F.sum("n_docs").alias("n")).collect()]
+    assert len(per) == 4 and max(per) < 500
+
+
 def test_a_very_long_text(spark, tmp_path):
     check(spark, tmp_path, [(1, "a" * 300_000), (2, "many words of it, " * 60_000), (3, "1" * 50_000)])
 
