@@ -417,7 +417,11 @@ def _scores(model: Model):
 
 
 def score(model: Model, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of each row, n_tokens, n_known, base_score (add-one unigrams) and score, both log10; perplexity is 10 ** (-score / n_tokens)."""
+    """The ``keep`` columns of each row, n_tokens, n_known, base_score (add-one unigrams) and score, both log10; perplexity is 10 ** (-score / n_tokens).
+
+    A kept column of a result's name is left out.
+    """
+    keep = tuple(c for c in keep if c not in ("n_tokens", "n_known", "base_score", "score"))
     x = docs.select(*keep, F.col(f"`{text}`").alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-1])
     return x.mapInArrow(_scores(model), f"{kinds}, n_tokens long, n_known long, base_score double, score double")

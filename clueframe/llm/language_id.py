@@ -18,7 +18,8 @@ tasks if they are few (a checked number), so that such a host's pages stay where
 A page without text has a flat likelihood; a missing declaration, address or host gives
 no evidence of its kind.  Without labelled texts there are no languages, and the result is
 ``und`` with probability 1.  Rows are independent given the counts; repeated rows count twice
-and get equal results.
+and get equal results.  Of languages of equal probability the first in the alphabet is given.  A kept
+column of a result's name is left out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scan
-from .near_dedup import small
-from .shared import stored
+from .shared import small, stored
 
 SAMPLE = 4000
 TEMPER = 0.15
@@ -83,17 +83,16 @@ def _counts(batches):
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE, text: str = "text", lang: str = "lang") -> Trigrams:
-    """Tables from at most ``rows`` labelled texts, those of least hash.
+    """Tables from at most ``rows`` different labelled texts, those of least hash: the same on every run.
 
-    The hashes alone are ordered; texts are then taken up to the last one, and twice ``rows`` at
-    most where that hash or another is of a text that occurs very often.
+    The hashes alone are ordered; texts are then taken up to the last one.
     """
     x = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
     h = F.xxhash64("text", "lang")
-    last = x.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    x = x.where(h <= last).limit(2 * rows) if last is not None else x
+    last = x.select(h.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    x = x.where(h <= last).dropDuplicates() if last is not None else x
     counts: dict[str, np.ndarray] = {}
-    for r in x.repartition(8).mapInArrow(_counts, "lang string, counts binary").collect():
+    for r in x.mapInArrow(_counts, "lang string, counts binary").collect():
         counts[r.lang] = counts.get(r.lang, 0) + np.frombuffer(bytes(r.counts), np.int64)
     return Trigrams(counts)
 
@@ -101,8 +100,10 @@ def train(labelled: DataFrame, rows: int = SAMPLE, text: str = "text", lang: str
 def page_evidence(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` with a struct ``evidence``: text, declared, host, domain and suffix, all nullable."""
     h = F.col(f"`{html}`")
-    body = F.regexp_replace(h, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<[^>]*>", " ")
-    declared = F.nullif(F.lower(F.regexp_extract(h, r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
+    # Comments, scripts and tags that aren't closed run to the end, so that each alternative passes over a page once.
+    body = F.regexp_replace(h, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*+(?:\z|>.*?(?:</\1\s*>|\z))|<[a-z/!?][^>]*+(?:>|\z)", " ")
+    tag = F.regexp_extract(h, r"(?i)<html\b([^>]*)", 1)
+    declared = F.nullif(F.lower(F.regexp_extract(tag, r"""(?i)(?<![\w-])lang\s*=\s*["']?([A-Za-z]{2,3})""", 1)), F.lit(""))
     host = F.nullif(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     return pages.withColumn("evidence", F.struct(body.alias("text"), declared.alias("declared"), host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), F.substring_index(host, ".", -1).alias("suffix")))
 
@@ -116,6 +117,7 @@ def _softmax(scores: Column) -> Column:
 def identify(rows: DataFrame, model: Trigrams, keep: tuple[str, ...]) -> DataFrame:
     """The ``keep`` columns of rows with an ``evidence`` struct, lang, probability, text_lang and posterior."""
     langs = model.languages
+    keep = tuple(c for c in keep if c not in ("lang", "probability", "text_lang", "posterior"))
     if not langs:
         return rows.select(*keep, F.lit("und").alias("lang"), F.lit(1.0).alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.array(F.lit(1.0)).alias("posterior"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -152,8 +154,8 @@ def identify(rows: DataFrame, model: Trigrams, keep: tuple[str, ...]) -> DataFra
     hosts = x.where("__host is not null").groupBy("__host", "__domain").agg(*sums()).select("__host", "__domain", vector("at_host"))
     domains = hosts.groupBy("__domain").agg(*(F.sum(F.col("at_host")[i]).alias(f"s{i}") for i in range(k))).select("__domain", vector("at_domain"))
     # A page's own share is in the sums of its host and domain: it is taken out of both.
-    prior = small(stored(hosts.join(domains, "__domain").select("__host", "at_host", "at_domain"), "hosts"))
-    full = x.join(prior, "__host", "left").join(small(given("__declared")), "__declared", "left").join(small(given("__suffix")), "__suffix", "left")
+    prior = small(stored(hosts.join(domains, "__domain").select("__host", "at_host", "at_domain"), "hosts"), 64 + 32 * k)
+    full = x.join(prior, "__host", "left").join(small(given("__declared"), 64 + 16 * k), "__declared", "left").join(small(given("__suffix"), 64 + 16 * k), "__suffix", "left")
     zero = F.array(*[F.lit(0.0)] * k)
     less = lambda name: F.transform(F.zip_with(F.coalesce(name, zero), F.when(F.col(name).isNotNull(), F.col("p")).otherwise(zero), lambda a, b: a - b), lambda v: F.greatest(v, F.lit(0.0)))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y)
