@@ -2,7 +2,8 @@
 
 Each round is a few joins and grouped minima over the edge table, written to the
 shared folder; no node's neighbours are ever gathered in one row, and nothing but a
-count and a checksum reaches the driver.
+count and a checksum reaches the driver.  The hub of a star doesn't meet its neighbours in one task: the
+least neighbours of hubs are broadcast (see ``shared.spread``).
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import passing, spread, stored
 
 MOST_ROUNDS = 60
 
@@ -21,25 +22,29 @@ def connected(edges: DataFrame) -> DataFrame:
     Null ends, loops and repeated edges don't matter; without edges there are no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u <> v").distinct()
-    e = stored(e, "edges")
-    state = _state(e)
-    for _ in range(MOST_ROUNDS):
-        e = stored(_small_star(_large_star(e)), "edges")
-        before, state = state, _state(e)
-        if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+    with passing(edges.sparkSession):
+        e = stored(e, "edges")
+        state = _state(e)
+        for _ in range(MOST_ROUNDS):
+            with passing(edges.sparkSession):
+                large = stored(_large_star(e, state[0]), "large")
+                e = stored(_small_star(large, large.count()), "edges", keep=True)
+            before, state = state, _state(e)
+            if state == before:
+                found = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+                return stored(found, "components", keep=True)
     raise RuntimeError(f"no fixed point in {MOST_ROUNDS} rounds")
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, edges: int) -> DataFrame:
     both = e.union(e.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return spread(both, least, "u", "n", 2 * edges).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    x = e.join(least, "u")
+def _small_star(e: DataFrame, edges: int) -> DataFrame:
+    least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    x = spread(e, least, "u", "n", edges)
     return x.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(x.select("u", F.col("m").alias("v"))).distinct()
 
 

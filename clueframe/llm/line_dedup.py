@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .near_dedup import _groups, small
-from .shared import stored
+from .near_dedup import _groups
+from .shared import passing, small, spread, stored
 
 THRESHOLD = 2
 MIN_CHARS = 20
-BLOCK = 1024
+BLOCK = 512
 _BINS = 64
+_NO_TEXT = "\ud800"  # stands in no text
 
 
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
@@ -81,29 +82,27 @@ def within(a: str, b: str, threshold: int) -> bool:
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if not a:
         return len(b) <= threshold
-    # Row e of `reach` holds, as bits, the positions in b that e edits can reach along each diagonal's prefix of a.
-    where: dict[str, int] = {}
-    for j, c in enumerate(b):
-        where[c] = where.get(c, 0) | (1 << j)
-    width = 2 * threshold + 1
-    live = [(1 << (e + 1)) - 1 for e in range(threshold + 1)]  # bit j: a[:i] becomes b[:j] by e edits at most
+    # Bit k of live[e], before the i-th character: a[:i] becomes b[:i - threshold + k] by e edits at most.
+    full = (1 << (2 * threshold + 1)) - 1
+    padded = _NO_TEXT * threshold + b + _NO_TEXT * (2 * threshold + 1)
+    live = [((1 << (e + 1)) - 1) << threshold & full for e in range(threshold + 1)]
     for i, c in enumerate(a):
-        same = where.get(c, 0)
-        low = max(0, i + 1 - threshold)
-        band = ((1 << width) - 1) << low
-        before = None
-        new: list[int] = []
+        band, same = padded[i : i + 2 * threshold + 1], 0
+        k = band.find(c)
+        while k >= 0:
+            same |= 1 << k
+            k = band.find(c, k + 1)
+        before, new = 0, []
         for e, x in enumerate(live):
-            y = (x & same) << 1
+            y = x & same
             if e:
-                y |= before | (before << 1) | (new[e - 1] << 1)
-            y &= band
+                y |= before | before >> 1 | new[-1] << 1 & full
             before = x
             new.append(y)
         live = new
         if not live[-1]:
             return False
-    return bool(live[-1] >> len(b) & 1)
+    return bool(live[-1] >> (len(b) - len(a) + threshold) & 1)
 
 
 def _digest(line: bytes) -> bytes:
@@ -193,14 +192,19 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     """(digest, component) of each line text that is linked with another."""
     if min_chars <= threshold:
         raise ValueError("min_chars must exceed the threshold")
-    texts = docs.select(F.col(f"`{text}`").alias("text"))
+    with passing(docs.sparkSession):
+        return _near_lines(docs.select(F.col(f"`{text}`").alias("text")), threshold, min_chars)
+
+
+def _near_lines(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     keyed = stored(texts.mapInArrow(_keyed(threshold, min_chars), "digest binary, keys array<long>"), "keyed")
     rows = keyed.select("digest", F.explode("keys").alias("key"))
-    shared = stored(rows.groupBy("key").agg(F.min("digest").alias("center"), F.max("digest").alias("other")).where("center <> other").select("key", "center"), "shared")
-    members = stored(rows.join(small(shared), "key").where("digest <> center").distinct(), "members")
+    total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = stored(rows.groupBy("key").agg(F.min("digest").alias("center"), F.max("digest").alias("other"), F.count("*").alias("m")).where("center <> other").select("key", "center", "m"), "shared")
+    members = stored(spread(rows, shared, "key", "m", total).where("digest <> center").select("key", "digest", "center").distinct(), "members")
 
     def texts_of(digests: DataFrame) -> DataFrame:
-        asked = small(stored(digests.distinct(), "asked"))
+        asked = small(stored(digests.distinct(), "asked"), 40)
         return stored(texts.mapInArrow(_texts, "digest binary, text string").join(asked, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
 
     pairs = stored(members.select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
@@ -214,13 +218,13 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("digest", "key"), blocks).cast("int")
     parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(mine > o, 1).otherwise(0).alias("side")))
-    dealt = placed.join(mixed, "key").select("key", "digest", "comp", F.explode(parts).alias("p"))
+    dealt = spread(placed, stored(mixed, "mixed"), "key", "m", total).select("key", "digest", "comp", F.explode(parts).alias("p"))
     dealt = dealt.select("key", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "digest", "comp").join(found, "digest")
     dealt = dealt.select("key", "part", "side", "digest", "comp", "text").repartition("key", "part").sortWithinPartitions("key", "part")
     more = stored(dealt.mapInArrow(_joining(threshold), "a binary, b binary").distinct(), "links")
     if more.limit(1).count():
         comps = connected(links.union(more))
-    return comps.withColumnRenamed("node", "digest")
+    return stored(comps.withColumnRenamed("node", "digest"), "near", keep=True)
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -232,8 +236,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
 
 def _classed(docs: DataFrame, threshold: int, min_chars: int, keys: str = "doc_id long") -> DataFrame:
     """The keys of each line's row, its number, digest, class and near; ``docs`` are the keys and the text."""
-    near = small(stored(near_lines(docs, threshold, min_chars), "near"))
-    lines = stored(docs.mapInArrow(_occurring, f"{keys}, line int, digest binary"), "lines")
+    near = small(near_lines(docs, threshold, min_chars), 80)
+    lines = stored(docs.mapInArrow(_occurring, f"{keys}, line int, digest binary"), "lines", keep=True)
     return lines.join(near, "digest", "left").select(*(c for c in docs.columns if c != "text"), "line", "digest", F.coalesce("component", "digest").alias("class"), F.col("component").isNotNull().alias("near"))
 
 
@@ -267,15 +271,30 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those in classes of several texts, those that are the first of their class, and the rest."""
+    """Per document: its lines, those in classes of several texts, those that are the first of their class, and the rest.
+
+    near_classes: the classes of several texts that the document has lines of, each by its first line (doc_id:line).
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     lines, first = line_classes(docs)
     counts = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if("near").alias("n_near_lines"))
     firsts = first.groupBy("doc_id").agg(F.count("*").alias("n_kept_lines"))
+    near = stored(lines.where("near").groupBy("doc_id", "class").agg(F.min("line").alias("line")), "near", keep=True)
+    names = near.groupBy("class").agg(F.min(F.struct("doc_id", "line")).alias("f"), F.count("*").alias("m"))
+    names = names.select("class", F.concat_ws(":", F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")), F.col("f.line").cast("string")).alias("name"), "m")
+    classes = spread(near, stored(names, "names", keep=True), "class", "m", near.count()).groupBy("doc_id").agg(F.sort_array(F.collect_set("name")).alias("near_classes"))
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().alias("d")
-    x = x.join(counts.alias("c"), F.expr("d.doc_id <=> c.doc_id"), "left").join(firsts.alias("f"), F.expr("d.doc_id <=> f.doc_id"), "left")
+    for name, part in (("c", counts), ("f", firsts), ("n", classes)):
+        x = x.join(part.alias(name), F.expr(f"d.doc_id <=> {name}.doc_id"), "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return x.select("d.doc_id", n(F.col("n_lines")).alias("n_lines"), n(F.col("n_near_lines")).alias("n_near_lines"), n(F.col("n_kept_lines")).alias("n_kept_lines"), (n(F.col("n_lines")) - n(F.col("n_kept_lines"))).alias("n_removed_lines"))
+    return x.select(
+        "d.doc_id",
+        n(F.col("n_lines")).alias("n_lines"),
+        n(F.col("n_near_lines")).alias("n_near_lines"),
+        n(F.col("n_kept_lines")).alias("n_kept_lines"),
+        (n(F.col("n_lines")) - n(F.col("n_kept_lines"))).alias("n_removed_lines"),
+        F.coalesce("near_classes", F.array().cast("array<string>")).alias("near_classes"),
+    )
 
 
 QUERIES = {"op10_line_dedup": op10_line_dedup}

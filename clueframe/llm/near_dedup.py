@@ -40,14 +40,12 @@ from pyspark.sql import types as T
 
 from . import scan
 from .components import connected
-from .shared import arrow_batches, stored
+from .shared import arrow_batches, passing, small, spread, stored
 
 PERCENT = 80
 BANDS, ROWS = 40, 5
 LEAST_AGREE = 130
-BLOCK = 2048
-#: Ids (8 bytes each) that a broadcast side may hold; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BLOCK = 512
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -296,11 +294,6 @@ def _joining(percent: int):
     return run
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for broadcast if it has no more rows than that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
     return _found(docs, shingle, percent, text).select("doc_id", "n_shingles", "component_id", "kept")
@@ -308,13 +301,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, t
 
 def _found(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
     """The rows of ``near_duplicates`` with digest and node, the least class reachable (null where a row is a copy of nothing)."""
-    with arrow_batches(docs.sparkSession, rows=2000):
+    with passing(docs.sparkSession), arrow_batches(docs.sparkSession, rows=2000):
         return _near_duplicates(docs, shingle, percent, text)
 
 
 def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sketch = stored(texts.mapInArrow(_sketch(shingle), _SKETCH), "sketch")
+    sketch = stored(texts.mapInArrow(_sketch(shingle), _SKETCH), "sketch", keep=True)
     again = stored(sketch.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     # A class is odd where its rep does not lead to one row.
     repeated = small(again).select(F.col("doc_id").alias("rep"), F.lit(True).alias("again"))
@@ -330,8 +323,9 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
     )
     known = classes.select("node", "n", "signature")
     rows = classes.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("m")).where("m > 1")
-    members = stored(rows.join(shared, "bucket").where("node <> center"), "members")
+    total = BANDS * classes.count()
+    shared = stored(rows.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("m")).where("m > 1"), "shared")
+    members = stored(spread(rows, shared, "bucket", "m", total).where("node <> center"), "members")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         asked = stored(nodes.distinct().join(classes.select("node", "rep", "digest", "odd"), "node"), "asked")
@@ -369,7 +363,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
     mine = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
     parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(mine > o, 1).otherwise(0).alias("side")))
     known = classes.select("node", "n", "signature", "bands")
-    parts = placed.join(mixed, "bucket").select("bucket", "node", "comp", F.explode(parts).alias("p"))
+    parts = spread(placed, stored(mixed, "mixed"), "bucket", "m", total).select("bucket", "node", "comp", F.explode(parts).alias("p"))
     parts = stored(parts.select("bucket", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "node", "comp"), "parts")
     full = ["bucket", "part", "side", "node", "comp", "n", "signature", "bands"]
     sides = lambda x: x.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
@@ -381,14 +375,14 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
         if more.limit(1).count():
             comps = connected(links.union(more))
 
-    linked = stored(classes.select("digest", "node", "rep", "rows").join(comps, "node", "left").where("rows > 1 or component is not null").select("digest", "rep", F.coalesce("component", "node").alias("node")), "linked")
-    least = small(stored(linked.groupBy("node").agg(F.min("rep").alias("component")), "least"))
+    linked = stored(classes.select("digest", "node", "rep", "rows").join(comps, "node", "left").where("rows > 1 or component is not null").select("digest", "rep", F.coalesce("component", "node").alias("node")), "linked", keep=True)
+    least = small(stored(linked.groupBy("node").agg(F.min("rep").alias("component")), "least", keep=True))
     found = linked.join(least, "node").select("digest", "node", "component")
     out = sketch.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     if several:
         # A document's rows without a set are in the component of its others.
         rest = owned.join(found.select("digest", F.col("component").alias("own")), "digest", "left").groupBy("doc_id").agg(F.min("own").alias("own"))
-        out = out.join(small(stored(rest, "own")), "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
+        out = out.join(small(stored(rest, "own", keep=True)), "doc_id", "left").withColumn("component", F.coalesce("component", "own"))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "digest", "node")
 
@@ -399,7 +393,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, text:
     Of rows that share a doc_id, one stays.  Rows with a null doc_id stay where they are copies of nothing;
     of a component without any doc_id one row stays, of the least digest.
     """
-    found = stored(_found(docs, shingle, percent, text), "components")
+    with passing(docs.sparkSession):
+        found = stored(_found(docs, shingle, percent, text), "components", keep=True)
     gone = small(found.where("doc_id is not null and not kept").select("doc_id").distinct())
     key = F.col("doc_id").cast("long")
     out = docs.join(gone.withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where unset, as in tests, a folder of this driver."""
+    """``spark.checkpoint.dir``; where unset and the master is local, as in tests, a folder of this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="clueframe-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -41,11 +45,37 @@ def arrow_batches(spark: SparkSession, size: int = 8 << 20, rows: int | None = N
             spark.conf.set(k, x)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df``, written to the shared folder and read from there: lineage ends here."""
+_scopes = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Within, stored tables are for the time being: they are deleted at the end, but for those stored with ``keep``.
+
+    What is kept belongs to the scope around this one, if there is any.
+    """
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            drop(spark, path)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The rows of ``df``, written to the shared folder and read from there: lineage ends here.
+
+    ``keep``: the result of an operator reads it after the operator has returned.
+    """
     spark = df.sparkSession
     path = fresh(spark, name)
     df.write.parquet(path)
+    stack = _scopes.__dict__.get("stack", [])
+    if keep:
+        stack = stack[:-1]
+    if stack:
+        stack[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +85,37 @@ def drop(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+#: Bytes that a side may hold to be broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 2 << 20
+
+
+def small(df: DataFrame, width: int = 16) -> DataFrame:
+    """``df``, marked for broadcast if its rows, of about ``width`` bytes, are few enough."""
+    rows = BROADCAST_BYTES // width
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Most keys that ``spread`` broadcasts.
+HOT_KEYS = 100_000
+
+
+def hot_rows(total: int) -> int:
+    """Rows beyond which a key is hot: of ``total`` rows at most ``HOT_KEYS`` keys can have more."""
+    return max(512, -(-total // HOT_KEYS))
+
+
+def spread(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, a row for each key, by a key that many rows may share.
+
+    ``count`` is the table's column of the number of rows with that key, and ``total`` is no less than their sum.  Hot
+    keys, whose number has a bound, are broadcast, so that their rows stay where they are; all others are shuffled.
+    """
+    hot = hot_rows(total)
+    heavy = F.broadcast(table.where(F.col(count) > hot))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(count) <= hot), key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def local(path: str) -> str | None:
     """The path in the file system, where the shared folder is one that open() reaches."""
     parts = urlparse(path)
