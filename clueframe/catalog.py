@@ -262,11 +262,8 @@ def multiplicative_score(spark, d):
     e = _read(spark, d, "events")
     side = F.when(F.col("user_id") % 3 == 0, "left").when(F.col("user_id") % 3 == 1, "right")
     flags = [((F.col("event_id") * (i + 3) + F.col("user_id")) % (5 + i % 7) == 0).alias(f) for i, f in enumerate(_FLAGS)]
-    rows = e.select(F.col("event_id").alias("obs_id"), F.struct(side.alias("side"), *flags).alias("s")).crossJoin(F.broadcast(pool.select(F.struct("*").alias("c"))))
-    from .plans.rules import scored
-
-    rows = scored(rows, clue_scorer.CHAINS, "1D + c.prior * 1.5D").select("obs_id", "c.code", "score")
-    return ranking.ranked(rows, ["obs_id"], clue_scorer.TEMPERATURE).select("obs_id", "rank", "code", "score", "confidence")
+    rows = e.select(F.col("event_id").alias("obs_id"), F.struct(side.alias("side"), *flags).alias("s"))
+    return clue_scorer.score_flags(rows, pool)
 
 
 @query()

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_contains, hits, normalize, whole_word, words_longer
 from ..plans import values as v
-from ..plans.rules import Arm, scored
-from .joins import small
-from .ranking import ranked, top_k
+from ..plans.rules import Arm, pooled, ranked_pool
+from .joins import dealt, small
+from .ranking import unrolled
 
 TEMPERATURE = 8.0
 PARAMS = "driving_side string, car_meta string, red_soil_pct double, road_sign string, hemisphere_deduction string"
@@ -312,24 +312,43 @@ def _continents() -> tuple[str, str, str]:
     return " + ".join(adds), " * ".join(factors), f"array_compact(array({', '.join(texts)}))"
 
 
+_BASE = "1D + c.prior * 1.5D"
+_NO_TEXTS = "CAST(array() AS ARRAY<STRING>)"
+
+
+def score_flags(seen: DataFrame, pool: DataFrame, key: str = "obs_id") -> DataFrame:
+    """The five best candidates of each row (key, s) by the rules alone: key, rank, code, score, confidence."""
+    rows = dealt(seen.select(key, "s")).crossJoin(F.broadcast(pooled(pool)))
+    return unrolled(rows.select(key, ranked_pool(CHAINS, _BASE, why=None).alias("best")), key, "best", TEMPERATURE, {})
+
+
 def score_clues(observations: DataFrame, countries: DataFrame, official: DataFrame, key: str = "obs_id") -> DataFrame:
-    """Per observation: the five best countries (key, rank, code, title, region, score, confidence, reasons, lat, lng, official_ids)."""
+    """Per observation: the five best countries (key, rank, code, title, region, score, confidence, reasons, lat, lng, official_ids).
+
+    A country without a reason is none; where no country is left, the first five by code are given.
+    """
     pool = candidate_table(countries)
     seen = signals(observations, key)
-    evidence = clue_evidence(seen, pool, official, key).select(key, "code", F.struct("points", "named", "texts", "official_ids").alias("e"))
-    rows = seen.select(key, "s").crossJoin(F.broadcast(pool.drop("all_text").select(F.struct("*").alias("c"))))
-    rows = rows.withColumn("code", F.col("c.code")).join(evidence, [key, "code"], "left")
+    evidence = clue_evidence(seen, pool, official, key)
+    # A map by code for each observation, of no more entries than there are countries.
+    evidence = evidence.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("code", F.struct("points", "named", "texts", "official_ids")))).alias("evidence"))
+    rows = seen.select(key, "s").join(evidence, key, "left")
+    first = F.expr("slice(array_sort(collect_list(struct(code, title, region, lat, lng))), 1, 5)")
+    sides = pool.groupBy().agg(F.collect_list(F.struct(*(c for c in pool.columns if c != "all_text"))).alias("pool"), first.alias("first"))
+    rows = rows.crossJoin(F.broadcast(sides))
     add, factor, texts = _continents()
-    rows = scored(rows, CHAINS, "1D + c.prior * 1.5D", plus=f"coalesce(e.points, 0D) + {add}", times=factor)
-    why = F.array_distinct(F.concat("reasons", F.coalesce("e.texts", F.array().cast("array<string>")), F.expr(texts)))
-    rows = rows.select(key, "code", "c.title", "c.region", "c.lat", "c.lng", "score", why.alias("reasons"), F.coalesce("e.official_ids", F.array().cast("array<string>")).alias("official_ids")).where(F.size("reasons") > 0)
-    best = ranked(rows, [key], TEMPERATURE)
-    none = observations.select(key).join(best.where("rank = 1").select(key), key, "left_anti")
-    first = top_k(pool.select("code", "title", "region", "lat", "lng", F.lit(1).alias("__one")), ["__one"], [F.asc("code")], 5).drop("__one", "rank")
-    plain = none.crossJoin(F.broadcast(first)).withColumns({"score": F.lit(1.0), "reasons": F.array(F.lit("no telling clue")), "official_ids": F.array().cast("array<string>")})
-    best = best.unionByName(ranked(plain, [key], TEMPERATURE))
+    why = lambda listed: f"array_distinct(concat({listed}, coalesce(e.texts, {_NO_TEXTS}), {texts}))"
+    best = ranked_pool(CHAINS, _BASE, plus=f"coalesce(e.points, 0D) + {add}", times=factor, evidence="try_element_at(evidence, c.code)", why=why, need_reason=True)
+    kind = "array<struct<worse: double, code: string, c: struct<title: string, region: string, lat: double, lng: double>, reasons: array<string>, ids: array<string>>>"
+    place = "named_struct('title', x.{0}title, 'region', x.{0}region, 'lat', x.{0}lat, 'lng', x.{0}lng)"
+    rows = rows.select(key, "first", F.slice(best, 1, 5).alias("best"))
+    found = F.expr(f"transform(best, x -> named_struct('worse', x.worse, 'code', x.code, 'c', {place.format('c.')}, 'reasons', x.reasons, 'ids', coalesce(x.e.official_ids, {_NO_TEXTS})))")
+    plain = F.expr(f"transform(first, x -> named_struct('worse', -1D, 'code', x.code, 'c', {place.format('')}, 'reasons', array('no telling clue'), 'ids', {_NO_TEXTS}))")
+    rows = rows.select(key, F.when(F.size("best") > 0, found.cast(kind)).otherwise(plain.cast(kind)).alias("best"))
+    place = {c: F.col(f"b.c.{c}") for c in ("title", "region", "lat", "lng")}
+    best = unrolled(rows, key, "best", TEMPERATURE, {**place, "reasons": F.col("b.reasons"), "official_ids": F.col("b.ids")})
     fallback = official.groupBy("code").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 3).alias("__first"))
-    best = best.join(fallback, "code", "left")
+    best = best.join(small(fallback), "code", "left")
     ids = F.when(F.size("official_ids") > 0, F.slice("official_ids", 1, 4)).otherwise(F.coalesce("__first", F.array().cast("array<string>")))
     return best.withColumn("official_ids", ids).drop("__first")
 

@@ -1,8 +1,8 @@
 """Evidence scoring of dual-view features: filters, additive points, and factors for exclusive hardware.
 
 An observation has hemisphere, driving_side, road_type, road_lines, biome, hardware
-(array) and the metrics red_soil_pct and horizon_std; absent values are neutral ones.  Each is
-crossed with the small table of candidates, which is broadcast, and filtered at once.
+(array) and the metrics red_soil_pct and horizon_std; absent values are neutral ones.  All
+candidates are broadcast as one array, and filtered, scored and ranked within the observation's row.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import values as v
-from ..plans.rules import Arm, scored
-from .ranking import ranked
+from ..plans.rules import Arm, pooled, ranked_pool
+from .joins import dealt
+from .ranking import unrolled
 
 TEMPERATURE = 12.0
 FALLBACK = ("US", 1.0)
@@ -118,20 +119,20 @@ def score_dual_view(observations: DataFrame, profiles: DataFrame, key: str = "ob
             F.coalesce("horizon_std", F.lit(20.0)).alias("horizon_std"),
         ).alias("s"),
     )
-    pool = F.broadcast(profiles.select(F.struct("*").alias("c")))
-    keep = (
-        F.expr("s.driving_side NOT IN ('LEFT', 'RIGHT') OR lower(s.driving_side) = c.driving_side")
-        & F.expr("NOT (s.hemisphere = 'NORTHERN' AND c.hemisphere = 'south') AND NOT (s.hemisphere = 'SOUTHERN' AND c.hemisphere = 'north')")
-    )
-    rows = scored(seen.crossJoin(pool).where(keep), CHAINS, "10D")
-    rows = rows.withColumn("score", F.expr(_hardware("score")))
-    exclusive = F.array_compact(F.array(*(F.when(F.array_contains("s.hardware", n) & (F.col("c.code") == own), F.lit(f"hardware seen here only: {n}")) for n, own, _ in reversed(HARDWARE))))
-    rows = rows.select(key, "c.code", "c.title", "c.lat", "c.lng", "score", F.concat(exclusive, "reasons").alias("reasons"))
-    best = ranked(rows, [key], TEMPERATURE)
-    none = observations.select(key).join(best.where("rank = 1").select(key), key, "left_anti")
+    where = """(s.driving_side NOT IN ('LEFT', 'RIGHT') OR lower(s.driving_side) = c.driving_side)
+        AND NOT (s.hemisphere = 'NORTHERN' AND c.hemisphere = 'south') AND NOT (s.hemisphere = 'SOUTHERN' AND c.hemisphere = 'north')"""
+    exclusive = ", ".join(f"IF(array_contains(s.hardware, '{n}') AND c.code = '{own}', 'hardware seen here only: {n}', NULL)" for n, own, _ in reversed(HARDWARE))
+    why = lambda listed: f"concat(array_compact(array({exclusive})), {listed})"
+    rows = dealt(seen).crossJoin(F.broadcast(pooled(profiles)))
+    rows = rows.select(key, ranked_pool(CHAINS, "10D", where=where, then=_hardware, why=why).alias("best"))
     lat, lng = v.CENTERS[FALLBACK[0]]
-    lone = none.select(key, F.lit(FALLBACK[0]).alias("code"), F.lit(FALLBACK[0]).alias("title"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(FALLBACK[1]).alias("score"), F.array(F.lit("no candidate is left")).alias("reasons"), F.lit(1).alias("rank"), F.lit(100.0).alias("confidence"))
-    return best.unionByName(lone)
+    place = "c struct<title: string, lat: double, lng: double>"
+    lone = F.array(F.struct(F.lit(-FALLBACK[1]).alias("worse"), F.lit(FALLBACK[0]).alias("code"), F.struct(F.lit(FALLBACK[0]).alias("title"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng")).alias("c"), F.array(F.lit("no candidate is left")).alias("reasons")))
+    found = F.transform("best", lambda x: F.struct(x["worse"].alias("worse"), x["code"].alias("code"), F.struct(x["c"]["title"].alias("title"), x["c"]["lat"].alias("lat"), x["c"]["lng"].alias("lng")).alias("c"), x["reasons"].alias("reasons")))
+    kind = f"array<struct<worse: double, code: string, {place.replace(' struct', ': struct', 1)}, reasons: array<string>>>"
+    rows = rows.select(key, F.slice(found, 1, 5).alias("best"))
+    rows = rows.select(key, F.when(F.size("best") > 0, F.col("best").cast(kind)).otherwise(lone.cast(kind)).alias("best"))
+    return unrolled(rows, key, "best", TEMPERATURE, {"title": F.col("b.c.title"), "lat": F.col("b.c.lat"), "lng": F.col("b.c.lng"), "reasons": F.col("b.reasons")})
 
 
 def code_table(spark: SparkSession, codes=None) -> DataFrame:

@@ -36,3 +36,9 @@ def nearest(points: DataFrame, places: DataFrame, key: str, name: str, lat: str
     d = lambda p: (F.col(lat) - p["y"]) * (F.col(lat) - p["y"]) + (F.col(lng) - p["x"]) * (F.col(lng) - p["x"])
     best = F.array_min(F.transform("__places", lambda p: F.struct(d(p).alias("d"), p["n"].alias("n"))))
     return points.crossJoin(F.broadcast(table)).withColumn("nearest", best["n"]).withColumn("nearest_d", best["d"]).drop("__places")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt to all cores if they come in fewer partitions: for rows that are small next to what is computed from them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,19 +14,19 @@ def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, r
     return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
-def softmax_percent(rows: DataFrame, by: Sequence[str], temperature: float, score: str = "score", into: str = "confidence") -> DataFrame:
-    """Each row's share of its group under a softmax, as a percentage of one decimal.
+def softmax_percent(scores: Column, temperature: float) -> Column:
+    """Shares of an array of scores, the first of them the highest, under a softmax: percentages of one decimal."""
+    e = F.transform(scores, lambda x: F.exp((x - F.element_at(scores, 1)) / temperature))
+    return F.transform(e, lambda x: F.round(x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y) * 100, 1))
 
-    Rows come from ``top_k`` over the same group, so the group is small and already in one place.
-    """
-    w = Window.partitionBy(*by)
-    e = F.exp((F.col(score) - F.max(score).over(w)) / temperature)
-    return rows.withColumn("__e", e).withColumn(into, F.round(F.col("__e") / F.sum("__e").over(w) * 100, 1)).drop("__e")
 
-
-def ranked(rows: DataFrame, by: Sequence[str], temperature: float, k: int = 5, tie: str = "code") -> DataFrame:
-    """Top k by score, ties by code, with confidence over these k alone."""
-    return softmax_percent(top_k(rows, by, [F.desc("score"), F.asc(tie)], k), by, temperature)
+def unrolled(rows: DataFrame, key: str, best: str, temperature: float, fields: Mapping[str, Column], k: int = 5) -> DataFrame:
+    """A row for each of the first k entries of the array ``best``, with rank, the ``fields`` (of the struct ``b``), score and confidence over these k alone."""
+    top = rows.select(key, F.slice(best, 1, k).alias("__top"))
+    top = top.withColumn("__share", softmax_percent(F.transform("__top", lambda x: F.lit(0.0) - x["worse"]), temperature))
+    each = top.select(key, F.posexplode(F.arrays_zip("__top", "__share")).alias("__at", "__b"))
+    each = each.select(key, (F.col("__at") + 1).alias("rank"), F.col("__b.__top").alias("b"), F.col("__b.__share").alias("confidence"))
+    return each.select(key, "rank", F.col("b.code").alias("code"), (F.lit(0.0) - F.col("b.worse")).alias("score"), "confidence", *(c.alias(n) for n, c in fields.items()))
 
 
 def first_of_each(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
