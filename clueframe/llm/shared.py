@@ -86,7 +86,7 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 #: Bytes that a side may hold to be broadcast; beyond it both sides are shuffled.
-BROADCAST_BYTES = 2 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def small(df: DataFrame, width: int = 16) -> DataFrame:
