@@ -51,7 +51,7 @@ class Ordinal:
         def gradient(x):
             w, theta = x[: len(d.keys)], self._thresholds(x[len(d.keys) :])
             s = d.times(w)
-            tails = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(theta - s[:, None])), np.zeros((n, 1))], axis=1)
+            tails = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(np.clip(theta - s[:, None], -500, 500))), np.zeros((n, 1))], axis=1)
             slopes = tails * (1 - tails)
             rows = np.arange(n)
             p = np.maximum(tails[rows, grades] - tails[rows, grades + 1], 1e-12)
