@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import scan
-from .shared import array, fresh, put
+from .shared import array, fresh, lean, put
 
 N = 10
 BLOCK_BYTES = 8 << 20
@@ -159,28 +159,48 @@ def _runs(batches, size: int) -> Iterator[list[pa.RecordBatch]]:
         yield held
 
 
+def _look_up(index: Windows, w: scan.Words, h: np.ndarray, found: dict[int, tuple[list, set]]) -> None:
+    for r, i, length, names in index.hits(w, h):
+        spans, ids = found.setdefault(r, ([], set()))
+        spans.append((i - int(w.rows[r]), i - int(w.rows[r]) + length - 1))
+        ids |= names
+
+
 def _scanner(items: _Items, n: int, text: str, into: str, cut: bool):
+    def pieces(batch, at):
+        return (w for _, _, w in scan.scanned(batch.column(at), scan.ALNUM))
+
+    def one_block(batch, at):
+        """Piece by piece, with the windows that stay in the worker."""
+        index = _windows(items, 0, n) if items.count else None
+        for w in pieces(batch, at):
+            found: dict = {}
+            if index is not None:
+                _look_up(index, w, w.hashes(), found)
+            yield w, found
+
     def run(batches):
-        # A single block stays in the worker; where there are more, each is read for a run of batches.
-        for some in _runs(batches, RUN_BYTES if items.count > 1 else 1):
+        if items.count <= 1:
+            for batch in batches:
+                at = batch.schema.get_field_index(text)
+                yield _judged(batch, one_block(batch, at), at, into, cut)
+            return
+        for some in _runs(batches, RUN_BYTES):  # each block is read once for a run of batches
             at = some[0].schema.get_field_index(text)
-            pieces = [[(w, w.hashes(), {}) for _, _, w in scan.scanned(batch.column(at), scan.ALNUM)] for batch in some]
+            held = [[(w, w.hashes(), {}) for w in pieces(batch, at)] for batch in some]
             for k in range(items.count):
                 index = _windows(items, k, n)
-                for w, h, found in chain.from_iterable(pieces):
-                    for r, i, length, names in index.hits(w, h):
-                        spans, ids = found.setdefault(r, ([], set()))
-                        spans.append((i - int(w.rows[r]), i - int(w.rows[r]) + length - 1))
-                        ids |= names
-            for batch, own in zip(some, pieces):
-                yield _judged(batch, own, at, into, cut)
+                for w, h, found in chain.from_iterable(held):
+                    _look_up(index, w, h, found)
+            for batch, own in zip(some, held):
+                yield _judged(batch, ((w, found) for w, _, found in own), at, into, cut)
 
-    return run
+    return lean(run)
 
 
-def _judged(batch: pa.RecordBatch, pieces: list, at: int, into: str, cut: bool) -> pa.RecordBatch:
+def _judged(batch: pa.RecordBatch, pieces: Iterator, at: int, into: str, cut: bool) -> pa.RecordBatch:
     results, texts = [], []
-    for w, _, found in pieces:
+    for w, found in pieces:
         for r, c in enumerate(w.counts.tolist()):
             spans, ids = found.get(r, ((), ()))
             spans = _merged(spans)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .near_dedup import _groups
-from .shared import passing, small, spread, stored
+from .shared import lean, passing, small, spread, stored
 
 THRESHOLD = 2
 MIN_CHARS = 20
@@ -197,7 +197,7 @@ def near_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN
 
 
 def _near_lines(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    keyed = stored(texts.mapInArrow(_keyed(threshold, min_chars), "digest binary, keys array<long>"), "keyed")
+    keyed = stored(texts.mapInArrow(lean(_keyed(threshold, min_chars)), "digest binary, keys array<long>"), "keyed")
     rows = keyed.select("digest", F.explode("keys").alias("key"))
     total = keyed.agg(F.sum(F.size("keys"))).first()[0] or 0
     shared = stored(rows.groupBy("key").agg(F.min("digest").alias("center"), F.max("digest").alias("other"), F.count("*").alias("m")).where("center <> other").select("key", "center", "m"), "shared")
@@ -205,12 +205,12 @@ def _near_lines(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
 
     def texts_of(digests: DataFrame) -> DataFrame:
         asked = small(stored(digests.distinct(), "asked"), 40)
-        return stored(texts.mapInArrow(_texts, "digest binary, text string").join(asked, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
+        return stored(texts.mapInArrow(lean(_texts), "digest binary, text string").join(asked, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
 
     pairs = stored(members.select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     found = texts_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")))
     both = pairs.join(found.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b").join(found.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(_linked(threshold), "a binary, b binary"), "links")
+    links = stored(both.select("a", "b", "ta", "tb").mapInArrow(lean(_linked(threshold)), "a binary, b binary"), "links")
     comps = connected(links)
 
     placed = members.select("key", "digest").join(comps.withColumnRenamed("node", "digest"), "digest", "left").select("key", "digest", F.coalesce("component", "digest").alias("comp"))
@@ -221,7 +221,7 @@ def _near_lines(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     dealt = spread(placed, stored(mixed, "mixed"), "key", "m", total).select("key", "digest", "comp", F.explode(parts).alias("p"))
     dealt = dealt.select("key", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "digest", "comp").join(found, "digest")
     dealt = dealt.select("key", "part", "side", "digest", "comp", "text").repartition("key", "part").sortWithinPartitions("key", "part")
-    more = stored(dealt.mapInArrow(_joining(threshold), "a binary, b binary").distinct(), "links")
+    more = stored(dealt.mapInArrow(lean(_joining(threshold)), "a binary, b binary").distinct(), "links")
     if more.limit(1).count():
         comps = connected(links.union(more))
     return stored(comps.withColumnRenamed("node", "digest"), "near", keep=True)
@@ -237,7 +237,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
 def _classed(docs: DataFrame, threshold: int, min_chars: int, keys: str = "doc_id long") -> DataFrame:
     """The keys of each line's row, its number, digest, class and near; ``docs`` are the keys and the text."""
     near = small(near_lines(docs, threshold, min_chars), 80)
-    lines = stored(docs.mapInArrow(_occurring, f"{keys}, line int, digest binary"), "lines", keep=True)
+    lines = stored(docs.mapInArrow(lean(_occurring), f"{keys}, line int, digest binary"), "lines", keep=True)
     return lines.join(near, "digest", "left").select(*(c for c in docs.columns if c != "text"), "line", "digest", F.coalesce("component", "digest").alias("class"), F.col("component").isNotNull().alias("near"))
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from . import scan
 from .components import connected
-from .shared import arrow_batches, passing, small, spread, stored
+from .shared import arrow_batches, lean, passing, small, spread, stored
 
 PERCENT = 80
 BANDS, ROWS = 40, 5
@@ -307,7 +307,7 @@ def _found(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
 
 def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sketch = stored(texts.mapInArrow(_sketch(shingle), _SKETCH), "sketch", keep=True)
+    sketch = stored(texts.mapInArrow(lean(_sketch(shingle)), _SKETCH), "sketch", keep=True)
     again = stored(sketch.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     # A class is odd where its rep does not lead to one row.
     repeated = small(again).select(F.col("doc_id").alias("rep"), F.lit(True).alias("again"))
@@ -330,22 +330,22 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
     def sets_of(nodes: DataFrame) -> DataFrame:
         asked = stored(nodes.distinct().join(classes.select("node", "rep", "digest", "odd"), "node"), "asked")
         plain = small(asked.where("not odd").select(F.col("rep").alias("doc_id"), "node"))
-        sets = texts.join(plain, "doc_id").select("node", "text").mapInArrow(_sets(shingle), "node long, set binary")
+        sets = texts.join(plain, "doc_id").select("node", "text").mapInArrow(lean(_sets(shingle)), "node long, set binary")
         odd = asked.where("odd")
         if odd.limit(1).count():
             ids = small(odd.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
             some = texts.join(ids, "doc_id", "left_semi").select("text").union(texts.where("doc_id is null").select("text"))
-            some = some.mapInArrow(_digest_sets(shingle), "digest binary, set binary").join(small(odd.select("digest", "node")), "digest")
+            some = some.mapInArrow(lean(_digest_sets(shingle)), "digest binary, set binary").join(small(odd.select("digest", "node")), "digest")
             sets = sets.union(some.dropDuplicates(["node"]).select("node", "set"))
         return stored(sets, "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = known.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         two = known.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-        near = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agreeing(percent), "a long, b long"), "near")
+        near = stored(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(_agreeing(percent)), "a long, b long"), "near")
         sets = sets_of(near.select(F.col("a").alias("node")).union(near.select("b")))
         both = near.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
+        return both.select("a", "b", "set_a", "set_b").mapInArrow(lean(_confirmed(percent)), "a long, b long").distinct()
 
     links = stored(confirmed(members.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()), "links")
     # The classes of one doc_id are linked with the least of them.
@@ -367,11 +367,11 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
     parts = stored(parts.select("bucket", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "node", "comp"), "parts")
     full = ["bucket", "part", "side", "node", "comp", "n", "signature", "bands"]
     sides = lambda x: x.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    asking = stored(sides(parts.join(known, "node").select(*full)).mapInArrow(_asking(percent), _ASKED), "asking")
+    asking = stored(sides(parts.join(known, "node").select(*full)).mapInArrow(lean(_asking(percent)), _ASKED), "asking")
     if asking.limit(1).count():
         sets = sets_of(asking.select("node"))
         asked = parts.join(asking, ["bucket", "part", "side", "node"], "left_semi").join(known, "node").join(sets, "node")
-        more = stored(sides(asked.select(*full, "set")).mapInArrow(_joining(percent), "a long, b long").distinct(), "links")
+        more = stored(sides(asked.select(*full, "set")).mapInArrow(lean(_joining(percent)), "a long, b long").distinct(), "links")
         if more.limit(1).count():
             comps = connected(links.union(more))
 

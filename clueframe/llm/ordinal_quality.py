@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashed_text as ht
+from .shared import lean
 
 GRADES = 3
 LEAST, AT = 2, 0.5
@@ -102,7 +103,7 @@ def score_quality(docs: DataFrame, model: Ordinal, text: str = "text", into: str
     """``docs`` with a struct: expected_grade, tail (P(grade >= 1), P(grade >= 2), ...) and kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != into), T.StructField(into, RESULT)])
-    return docs.mapInArrow(_scorer(sent, text, into, least, at), schema)
+    return docs.mapInArrow(lean(_scorer(sent, text, into, least, at)), schema)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = ht.SAMPLE) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashed_text as ht
-from .shared import stored
+from .shared import lean, stored
 
 DOMAINS = ("clean", "toxic", "poor")
 TARGETS = {"clean": 0.90, "toxic": 0.02, "poor": 0.08}
@@ -117,7 +117,7 @@ def memberships(docs: DataFrame, model: Classifier, text: str = "text", into: st
     """``docs`` with a struct: n_tokens (words) and posteriors."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != into), T.StructField(into, _KIND)])
-    return docs.mapInArrow(_member(sent, text, into), schema)
+    return docs.mapInArrow(lean(_member(sent, text, into)), schema)
 
 
 def rate(posteriors: Column, history: Sequence[Sequence[float]], least: float = 0.0) -> Column:

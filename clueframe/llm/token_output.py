@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder, scan
-from .shared import arrow_batches, fresh
+from .shared import arrow_batches, fresh, lean
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
     order = (F.col("doc_id"), F.substring("text", 1, _PREFIX), F.xxhash64("text"))
     x = x.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order, "row").sortWithinPartitions(*order, "text").drop("row")
     with arrow_batches(docs.sparkSession, rows=1000):
-        x.mapInArrow(_writer(vocabulary, end_id), _SEGMENTS).write.parquet(path)
+        x.mapInArrow(lean(_writer(vocabulary, end_id)), _SEGMENTS).write.parquet(path)
 
 
 def _reader(base: dict[int, int], with_ids: bool):
@@ -301,7 +301,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
     for r in files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect():  # a row for each task that wrote
         base[r.shard], at = at, at + r.n
     kinds = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.select("shard", "start", "payload").mapInArrow(_reader(base, with_ids), kinds)
+    return files.select("shard", "start", "payload").mapInArrow(lean(_reader(base, with_ids)), kinds)
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
