@@ -24,6 +24,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Target shares of the languages' tokens.  All but the anchor's are to grow, so that no document has to go.
 MIX = {"en": 0.50, "de": 0.20, "fr": 0.17, "es": 0.13}
 ANCHOR = "en"
+#: Documents that languages are learned from.
+MIX_SAMPLE = 2000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     domains = list(MIX)
     lang = F.array_position(F.array(*(F.lit(x) for x in domains)), F.col("lang"))
     labels = docs.select("doc_id", F.when(lang > 0, lang - 1).alias("label"))
-    return mix_domains(docs, labels, domains, MIX, anchor=ANCHOR, least=1.0)
+    return mix_domains(docs, labels, domains, MIX, anchor=ANCHOR, rows=MIX_SAMPLE, least=1.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
