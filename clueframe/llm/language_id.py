@@ -39,6 +39,7 @@ TEMPER = 0.15
 KAPPA = 5.0
 SMOOTH = 0.5
 _BITS = 16
+_SLICES = 16
 
 
 class Trigrams:
@@ -73,27 +74,41 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches):
+    """(lang, slice, counts) of the task's texts: a row for each slice of a language's table."""
+    held: dict[str, np.ndarray] = {}
     for batch in batches:
-        texts, langs = batch.column(1), batch.column(0).to_pylist()
-        data, offsets = scan.text_buffer(texts)
-        held: dict[str, np.ndarray] = {}
-        for i, x in enumerate(langs):
+        data, offsets = scan.text_buffer(batch.column(1))
+        for i, x in enumerate(batch.column(0).to_pylist()):
             held[x] = held.get(x, 0) + np.bincount(grams(data[offsets[i] : offsets[i + 1]]), minlength=1 << _BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([v.astype(np.int64).tobytes() for v in held.values()], pa.binary())], names=["lang", "counts"])
+    for x, counts in held.items():
+        parts = counts.astype(np.int64).reshape(_SLICES, -1)
+        yield pa.RecordBatch.from_arrays([pa.array([x] * _SLICES, pa.string()), pa.array(range(_SLICES), pa.int32()), pa.array([v.tobytes() for v in parts], pa.binary())], names=["lang", "slice", "counts"])
+
+
+def _summed(batches):
+    """One row for each language and slice that the task is given."""
+    held: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for x, i, v in zip(*(c.to_pylist() for c in batch.columns)):
+            held[x, i] = held.get((x, i), 0) + np.frombuffer(v, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([i for _, i in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["lang", "slice", "counts"])
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE, text: str = "text", lang: str = "lang") -> Trigrams:
     """Tables from at most ``rows`` different labelled texts, those of least hash: the same on every run.
 
-    The hashes alone are ordered; texts are then taken up to the last one.
+    The hashes alone are ordered; texts are then taken up to the last one.  The driver gets one table of
+    counts for each language, summed by the executors, however many tasks counted.
     """
     x = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
     h = F.xxhash64("text", "lang")
     last = x.select(h.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     x = x.where(h <= last).dropDuplicates() if last is not None else x
     counts: dict[str, np.ndarray] = {}
-    for r in x.mapInArrow(_counts, "lang string, counts binary").collect():
-        counts[r.lang] = counts.get(r.lang, 0) + np.frombuffer(bytes(r.counts), np.int64)
+    kind = "lang string, slice int, counts binary"
+    for r in x.mapInArrow(_counts, kind).repartition("lang", "slice").mapInArrow(_summed, kind).collect():
+        counts.setdefault(r.lang, np.zeros((_SLICES, (1 << _BITS) // _SLICES), np.int64))[r.slice] = np.frombuffer(bytes(r.counts), np.int64)
+    counts = {x: v.reshape(-1) for x, v in counts.items()}
     return Trigrams(counts)
 
 

@@ -143,6 +143,8 @@ def test_mixing(spark, planted):
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = li.train(docs.where("doc_id % 2 = 0"))
+    again = li.train(docs.where("doc_id % 2 = 0").repartition(23))
+    assert again.languages == model.languages and (again.table == model.table).all()
     none = F.lit(None).cast("string")
     rows = docs.where("doc_id % 2 = 1").select("doc_id", F.col("lang").alias("truth"), F.struct("text", none.alias("declared"), none.alias("host"), none.alias("domain"), none.alias("suffix")).alias("evidence"))
     got = li.identify(rows, model, ("doc_id", "truth")).collect()
