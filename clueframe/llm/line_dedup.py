@@ -15,6 +15,7 @@ Texts that share a key are compared with the least of them; links are verified b
 banded bit-parallel edit distance.  Where a key's texts then still belong to several
 components they are compared with each other, across components only, in blocks of at
 most ``BLOCK``; a pair whose character counts differ by too much is passed over unverified.
+Of the texts only those in question are shuffled, as told by a Bloom filter of their digests.
 
 Texts go by 96-bit digests.  A null doc_id comes before all others; rows that share a doc_id
 count as one document, whose equal lines of equal number are one.  Rows with a null doc_id are
@@ -38,6 +39,9 @@ from .shared import lean, passing, small, spread, stored
 THRESHOLD = 2
 MIN_CHARS = 20
 BLOCK = 512
+#: Bytes that the filter of the lines asked for may take; beyond it the texts of all lines are shuffled.
+FILTER_BYTES = 64 << 20
+_SLICE_BITS, _SLICE_DIGESTS = 1 << 16, 6000
 _BINS = 64
 _NO_TEXT = "\ud800"  # stands in no text
 
@@ -146,10 +150,53 @@ def _keyed(threshold: int, min_chars: int):
     return run
 
 
-def _texts(batches):
+def _places(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number that gives the slice, four places in it) of each digest in a filter."""
+    x = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 12)
+    return x[:, 8:].copy().view(">u4")[:, 0].astype(np.int64), x[:, :8].copy().view("<u2").astype(np.int64)
+
+
+def _filled(batches):
     for batch in batches:
-        found = {_digest(x.encode()): x for t in batch.column(0) for _, x in _lines(t.as_py())}
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], names=["digest", "text"])
+        bits = []
+        for digests in batch.column(1).to_pylist():
+            x = np.zeros(_SLICE_BITS, bool)
+            x[_places(digests)[1]] = True
+            bits.append(np.packbits(x).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["slice", "bits"])
+
+
+def _filter(digests: DataFrame, n: int) -> np.ndarray | None:
+    """A row of bytes for each slice of a Bloom filter of ``n`` different digests; None beyond ``FILTER_BYTES``."""
+    slices = max(1, -(-n // _SLICE_DIGESTS))
+    if slices * _SLICE_BITS // 8 > FILTER_BYTES:
+        return None
+    number = F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long")
+    filled = digests.groupBy(F.pmod(number, F.lit(slices)).cast("int").alias("slice")).agg(F.collect_list("digest").alias("digests"))
+    out = np.zeros((slices, _SLICE_BITS // 8), np.uint8)
+    for r in filled.mapInArrow(lean(_filled), "slice int, bits binary").toLocalIterator():
+        out[r.slice] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _among(table: np.ndarray, digests: list[bytes]) -> np.ndarray:
+    """Whether each digest is in the filter; of others about one in a hundred is said to be."""
+    number, places = _places(digests)
+    return (table[(number % len(table))[:, None], places >> 3] >> (7 - (places & 7)) & 1).all(axis=1)
+
+
+def _texts(sent):
+    """(digest, text) of the lines that may be asked for; without a filter, of all."""
+
+    def run(batches):
+        for batch in batches:
+            found = {_digest(x.encode()): x for t in batch.column(0) for _, x in _lines(t.as_py())}
+            digests = list(found)
+            if sent is not None and digests:
+                digests = [d for d, keep in zip(digests, _among(sent.value, digests)) if keep]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([found[d] for d in digests], pa.string())], names=["digest", "text"])
+
+    return run
 
 
 def _linked(threshold: int):
@@ -204,8 +251,10 @@ def _near_lines(texts: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     members = stored(spread(rows, shared, "key", "m", total).where("digest <> center").select("key", "digest", "center").distinct(), "members")
 
     def texts_of(digests: DataFrame) -> DataFrame:
-        asked = small(stored(digests.distinct(), "asked"), 40)
-        return stored(texts.mapInArrow(lean(_texts), "digest binary, text string").join(asked, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
+        asked = stored(digests.distinct(), "asked")
+        table = _filter(asked, asked.count())
+        sent = None if table is None else texts.sparkSession.sparkContext.broadcast(table)
+        return stored(texts.mapInArrow(lean(_texts(sent)), "digest binary, text string").join(asked, "digest", "left_semi").dropDuplicates(["digest"]), "texts")
 
     pairs = stored(members.select(F.col("center").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
     found = texts_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -64,7 +65,20 @@ def edited(rng, line):
     return "".join(x)
 
 
-def test_against_brute_force(spark):
+def test_filter(spark, monkeypatch):
+    digests = [ld._digest(str(i).encode()) for i in range(13_000)]
+    df = spark.createDataFrame([(d,) for d in digests[:7000]], "digest binary")
+    table = ld._filter(df, 7000)
+    among = ld._among(table, digests)
+    assert len(table) == 2 and among[:7000].all() and among[7000:].mean() < 0.02
+    assert not ld._filter(df.limit(0), 0).any()
+    monkeypatch.setattr(ld, "FILTER_BYTES", 8192)
+    assert ld._filter(df, 7000) is None
+
+
+@pytest.mark.parametrize("room", [ld.FILTER_BYTES, 0])
+def test_against_brute_force(spark, monkeypatch, room):
+    monkeypatch.setattr(ld, "FILTER_BYTES", room)
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(4, 40))) + "x" for _ in range(12)]
     rows = [(i, "\n".join(edited(rng, rng.choice(base)) for _ in range(rng.randrange(6)))) for i in range(40)]
