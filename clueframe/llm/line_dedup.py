@@ -174,7 +174,7 @@ def _filter(digests: DataFrame, n: int) -> np.ndarray | None:
     number = F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long")
     filled = digests.groupBy(F.pmod(number, F.lit(slices)).cast("int").alias("slice")).agg(F.collect_list("digest").alias("digests"))
     out = np.zeros((slices, _SLICE_BITS // 8), np.uint8)
-    for r in filled.mapInArrow(lean(_filled), "slice int, bits binary").toLocalIterator():
+    for r in filled.mapInArrow(lean(_filled), "slice int, bits binary").collect():
         out[r.slice] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
