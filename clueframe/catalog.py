@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, text
+from .functions import arrays, geo, text
 from .operators import clue_scorer, dual_view, evaluation, images, joins, knowledge_base, matches, ranking
 from .plans import values as v
 from .sources import knowledge
@@ -388,18 +388,16 @@ def label_join_quality(spark, d):
 @query("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)
 SELECT vec_id, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS sd, arg_max(i, {'e': e, 'i': -i})::INT AS argmax, round(avg((e > 0.1)::INT) * 100, 4) AS mask_pct, list(e ORDER BY i)[1] IS NOT NULL AS filled FROM x GROUP BY vec_id""")
 def array_mask_metrics(spark, d):
-    x = _read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).withColumn("e", F.col("e").cast("double"))
-    return x.groupBy("vec_id").agg(F.round(F.avg("e"), 6).alias("mean"), F.round(F.stddev_pop("e"), 6).alias("sd"), F.max_by(F.col("i") + 1, F.struct("e", -F.col("i"))).alias("argmax"), F.round(F.avg((F.col("e") > 0.1).cast("int")) * 100, 4).alias("mask_pct"), F.lit(True).alias("filled"))
+    e = F.col("embedding")
+    x = _read(spark, d, "embeddings").where(F.size(e) > 0)
+    return x.select("vec_id", F.round(arrays.mean(e), 6).alias("mean"), F.round(arrays.deviation(e), 6).alias("sd"), arrays.first_largest(e).alias("argmax"), F.round(arrays.share_above(e, 0.1), 4).alias("mask_pct"), e[0].isNotNull().alias("filled"))
 
 
 @query("""WITH b AS (SELECT label, least(greatest(floor((e + 0.5) * 10), 0), 9)::INT AS bin FROM (SELECT label, unnest(embedding)::DOUBLE AS e FROM embeddings)),
 c AS (SELECT label, bin, count(*) AS n FROM b GROUP BY ALL)
 SELECT l.label, r.bin::INT AS bin, coalesce(n, 0)::BIGINT AS n FROM (SELECT DISTINCT label FROM embeddings) l CROSS JOIN range(10) r(bin) LEFT JOIN c ON c.label IS NOT DISTINCT FROM l.label AND c.bin = r.bin""")
 def fixed_bin_histogram(spark, d):
-    x = _read(spark, d, "embeddings").select("label", F.explode("embedding").alias("e"))
-    b = F.least(F.greatest(F.floor((F.col("e").cast("double") + 0.5) * 10), F.lit(0)), F.lit(9)).cast("int")
-    counts = x.groupBy("label").agg(*(F.count_if(b == i).alias(f"b{i}") for i in range(10)))
-    return counts.select("label", F.posexplode(F.array(*(f"b{i}" for i in range(10)))).alias("bin", "n"))
+    return arrays.histogram(_read(spark, d, "embeddings"), "label", "embedding", -0.5, 0.5, 10)
 
 
 @query("""SELECT a.i AS current, b.i AS target, CASE WHEN (b.i - a.i + 8) % 8 <= 4 THEN -((b.i - a.i + 8) % 8) ELSE 8 - (b.i - a.i + 8) % 8 END AS turn FROM (SELECT DISTINCT n_nationkey % 8 AS i FROM nation) a CROSS JOIN (SELECT DISTINCT n_nationkey % 8 AS i FROM nation) b""")

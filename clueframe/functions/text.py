@@ -89,6 +89,19 @@ def game_token(url: Column) -> Column:
     return F.coalesce(*found, F.trim(url))
 
 
+def url_quoted(text: Column) -> Column:
+    """Percent-encoded UTF-8; letters, digits and _ . - ~ / stay."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def url_value(url: Column, name: str) -> Column:
+    """The first value of a parameter of an address's query, decoded; null without one or for what isn't an address."""
+    return F.try_url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit(name)))
+
+
 def unhexed(text: Column) -> Column:
     """UTF-8 text written in hexadecimal, or the text as it stands if it isn't that."""
     raw = F.unhex(text)

@@ -135,5 +135,13 @@ def score_dual_view(observations: DataFrame, profiles: DataFrame, key: str = "ob
     return unrolled(rows, key, "best", TEMPERATURE, {"title": F.col("b.c.title"), "lat": F.col("b.c.lat"), "lng": F.col("b.c.lng"), "reasons": F.col("b.reasons")})
 
 
+def profile_codes(guides: DataFrame, official: DataFrame) -> DataFrame:
+    """(code, title, n_clues) of each code that has a guide or official clues; n_clues counts both sources' clues."""
+    told = guides.where("code IS NOT NULL").groupBy("code").agg(F.min("title").alias("title"), F.sum(F.coalesce(F.array_size("all_clues"), F.lit(0))).alias("__g"))
+    master = official.where("countryCode IS NOT NULL").groupBy(F.col("countryCode").alias("code")).agg(F.count("*").alias("__o"))
+    n = F.coalesce("__g", F.lit(0)) + F.coalesce("__o", F.lit(0))
+    return told.join(master, "code", "full_outer").select("code", "title", n.alias("n_clues"))
+
+
 def code_table(spark: SparkSession, codes=None) -> DataFrame:
     return spark.createDataFrame([(c,) for c in (codes or v.CENTERS)], "code string")

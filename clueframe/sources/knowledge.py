@@ -149,7 +149,7 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """(path, base64, mime) of files."""
+    """(path, base64, mime) of files; Spark passes over files without bytes."""
     from ..functions.text import image_type
 
     return spark.read.format("binaryFile").load(path).select("path", F.base64("content").alias("base64"), image_type(F.col("path")).alias("mime"))
