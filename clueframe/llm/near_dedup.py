@@ -13,8 +13,11 @@ linked where ``100 * |intersection| >= percent * |union|``.
    sizes allow it and the signatures agree well enough (``LEAST_AGREE`` of 200, over five
    standard deviations below what 0.8 gives), and is a link if the full sets confirm it.
 4. Connected components come from alternating large-star and small-star.
-5. Buckets that still hold several components are compared in blocks of at most
-   ``BLOCK`` members, across components only, a pair in the first bucket it shares.
+5. In buckets of more than ``BLOCK`` members that still hold several components, the members outside
+   the largest are paired with one of it, another in each bucket and turn, and confirmed as above.
+6. What is outside the largest component even then, the rest, is compared in blocks of about ``BLOCK``
+   members, across components only, a pair in the first bucket it shares: each block of the
+   rest with all blocks, so that members of the largest component are sent once for each block of the rest.
    Members with a likely partner are sent their full sets; confirmed links join components.
 
 So no group is expanded into pairs, and each pair that shares a bucket is either
@@ -46,6 +49,8 @@ PERCENT = 80
 BANDS, ROWS = 40, 5
 LEAST_AGREE = 130
 BLOCK = 512
+#: Most turns of step 5.
+TURNS = 2
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -294,6 +299,15 @@ def _joining(percent: int):
     return run
 
 
+def _mixed(placed: DataFrame, turn: int) -> DataFrame:
+    """Buckets of several components: m members, the largest component, one member of it, and how many are outside."""
+    one = F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node"))
+    each = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"), one.alias("one"))
+    top = F.max(F.struct("n", "comp", F.col("one.node").alias("pivot"))).alias("top")
+    both = each.groupBy("bucket").agg(top, F.sum("n").alias("m"), F.count("*").alias("comps")).where("comps > 1")
+    return both.select("bucket", "m", F.col("top.comp").alias("major"), F.col("top.pivot").alias("pivot"), (F.col("m") - F.col("top.n")).alias("rest"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
     return _found(docs, shingle, percent, text).select("doc_id", "n_shingles", "component_id", "kept")
@@ -356,14 +370,28 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
         links = stored(links.union(owned.join(head, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))), "links")
     comps = connected(links)
 
-    placed = members.where("m > 2").select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y").select("bucket", "m")
+    for turn in range(TURNS + 1):
+        placed = members.where("m > 2").select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+        mixed = stored(_mixed(placed, turn), "mixed")
+        large = mixed.where(F.col("m") > BLOCK)
+        if turn == TURNS or not large.limit(1).count():
+            break
+        pairs = spread(placed, large, "bucket", "m", total).where("comp <> major").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        more = stored(confirmed(pairs), "links")
+        if not more.limit(1).count():
+            break
+        comps = connected(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     # The number of blocks follows from the bucket's size; a row is sent to each part that has its block.
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(mine > o, 1).otherwise(0).alias("side")))
+    # The first blocks are of the rest, the others of the largest component; a bucket of one block is not cut.
+    large = F.col("m") > BLOCK
+    cut = large & (F.col("comp") == F.col("major"))
+    first = F.when(large, F.ceil(F.col("rest") / BLOCK)).otherwise(1).cast("int")
+    others = F.when(large, F.ceil((F.col("m") - F.col("rest")) / BLOCK)).otherwise(0).cast("int")
+    hashed = F.xxhash64("node", "bucket")
+    mine = F.when(cut, first + F.pmod(hashed, F.greatest(others, F.lit(1)))).otherwise(F.pmod(hashed, first)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.when(cut, first).otherwise(first + others) - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(mine > o, 1).otherwise(0).alias("side")))
     known = classes.select("node", "n", "signature", "bands")
-    parts = spread(placed, stored(mixed, "mixed"), "bucket", "m", total).select("bucket", "node", "comp", F.explode(parts).alias("p"))
+    parts = spread(placed, mixed, "bucket", "m", total).select("bucket", "node", "comp", F.explode(parts).alias("p"))
     parts = stored(parts.select("bucket", (F.col("p.lo") * 1_000_000 + F.col("p.hi")).alias("part"), F.col("p.side").alias("side"), "node", "comp"), "parts")
     full = ["bucket", "part", "side", "node", "comp", "n", "signature", "bands"]
     sides = lambda x: x.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
@@ -373,7 +401,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, text: str) ->
         asked = parts.join(asking, ["bucket", "part", "side", "node"], "left_semi").join(known, "node").join(sets, "node")
         more = stored(sides(asked.select(*full, "set")).mapInArrow(lean(_joining(percent)), "a long, b long").distinct(), "links")
         if more.limit(1).count():
-            comps = connected(links.union(more))
+            comps = connected(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     linked = stored(classes.select("digest", "node", "rep", "rows").join(comps, "node", "left").where("rows > 1 or component is not null").select("digest", "rep", F.coalesce("component", "node").alias("node")), "linked", keep=True)
     least = small(stored(linked.groupBy("node").agg(F.min("rep").alias("component")), "least", keep=True))

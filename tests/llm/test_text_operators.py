@@ -184,6 +184,32 @@ def test_near_duplicates(spark, monkeypatch):
     check_near(spark, rows, 2)
 
 
+def test_rows_sent_to_blocks_grow_with_the_group(spark, monkeypatch):
+    """A large group of near copies, not all linked with the least: each row goes to few blocks, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [f"w{j}" for j in range(150)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.randrange(1, 5) if i % 12 else 14):
+            w[rng.randrange(len(w))] = f"e{i}_{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    counts = {}
+    stored = near_dedup.stored
+
+    def counted(df, name, keep=False):
+        out = stored(df, name, keep)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, shingle=2).collect()}
+    assert got == near(rows, 2)
+    assert counts["parts"] <= 2 * counts["members"]
+
+
 def test_near_duplicates_of_documents(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     check_near(spark, rows, 5)
