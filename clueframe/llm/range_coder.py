@@ -128,15 +128,16 @@ def _named(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return names, places.reshape(-1)
     there = np.zeros(top, bool)
     there[ids] = True
-    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there) - 1).take(ids)
+    return np.flatnonzero(there).astype(np.uint32), (np.cumsum(there, dtype=np.int32) - np.int32(1)).take(ids)
 
 
 def encode_block(ids: np.ndarray) -> bytes:
     """A block: its distinct ids, the size of each lane's code, and the codes."""
     names, places = _named(ids)
     lanes, steps = _shape(len(ids))
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.uint32)
     grid[: len(ids)] = places
+    del places
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     tail = len(ids) - (lanes - 1) * steps
     model = _Model(len(names), lanes)
@@ -148,7 +149,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     low, rng = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
     for t in range(steps):
         n = lanes if t < tail else lanes - 1
-        x = grid[t, :n]
+        x = grid[t, :n].astype(np.int64)
         model.predict(n)
         start, size = model.interval(x)
         l, g, p = low[:n], rng[:n], pos[:n]

@@ -178,18 +178,23 @@ def array(path: str, kind, keep: bool = True) -> np.ndarray:
     return data
 
 
+def give_back() -> None:
+    """Return free memory of this process to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def lean(run):
     """A mapInArrow function that gives its memory back at the end of a task: workers are used again by later stages."""
 
     def lean_run(batches):
         yield from run(batches)
-        import ctypes
-
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return lean_run

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import range_coder, scan
-from .shared import arrow_batches, fresh, lean
+from .shared import arrow_batches, fresh, give_back, lean
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -91,6 +91,7 @@ class Encoder:
         self.separator = special[0]["id"] if special else None
         self.quick = all(spec.get(k) == x for k, x in _RULES.items()) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # of equal ids one object is held
         self.forget()
 
     @staticmethod
@@ -116,14 +117,14 @@ class Encoder:
         if len(self.pieces) > _MOST_PIECES:
             self.pieces.clear()
         ids, counts, rest = [], np.zeros(len(texts), np.int64), []
-        known, tokenize = self.pieces, self.tokenizer.model.tokenize
+        known, numbers, tokenize = self.pieces, self.numbers, self.tokenizer.model.tokenize
         for i, t in enumerate(texts):
             if _COMMON.fullmatch(t):
                 before = len(ids)
                 for p in _PIECES.findall(t.lower()):
                     got = known.get(p)
                     if got is None:
-                        got = known[p] = tuple([x.id for x in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_SIGNS))])
+                        got = known[p] = tuple([numbers[x.id] for x in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_SIGNS))])
                     ids += got
                 counts[i] = len(ids) - before
             else:
@@ -246,6 +247,8 @@ def _writer(vocabulary: str, end_id: int):
 
         def flush():
             x = np.concatenate(ids)
+            ids.clear()  # coding takes the most memory of a task
+            give_back()
             row = [shard], [segment], [start], [len(docs)], [len(x)], [range_coder.pack(docs, np.concatenate(lengths), x)]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "segment", "start", "n_docs", "n_tokens", "payload"])
 

@@ -101,6 +101,21 @@ def test_repeats_cost_little():
     assert len(rc.pack([1], np.array([50000]), np.full(50000, 7))) < 2000
 
 
+def test_coding_holds_few_bytes_an_id():
+    """Two blocks are coded at a time in each executor, beside all else that a pipeline's workers hold."""
+    import tracemalloc
+
+    ids = np.random.default_rng(1).integers(0, 49_000, 1 << 19).astype(np.uint32)
+    tracemalloc.start()
+    try:
+        data = rc.encode_block(ids)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 28 * len(ids)
+    assert (rc.decode_block(data, len(ids)) == ids).all()
+
+
 def test_blocks_stand_alone(monkeypatch):
     monkeypatch.setattr(rc, "BLOCK", 4000)
     ids = np.random.default_rng(1).integers(0, 50, 10_000).astype(np.uint32)
