@@ -63,10 +63,18 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(F.coalesce(F.try_divide(part.cast("double") * 100, whole), F.lit(0.0)), digits)
 
 
+def mean(value: str, digits: int = 1) -> Column:
+    """A rounded average that the order of the rows doesn't change: decimals are summed as such, so that half-way means go up, and what they leave of a value by itself."""
+    x = F.col(value)
+    part = x.try_cast("decimal(28,9)")
+    exact = (F.sum(part).cast("double") + F.sum(x - part.cast("double"))) / F.count(x)
+    return F.round(F.when(F.count(part) == F.count(x), exact).otherwise(F.avg(x)), digits)
+
+
 def accuracy(results: DataFrame) -> DataFrame:
     """One row: rounds, hits, accuracies of first and first three, and mean time, over results (is_top1, is_top3, elapsed_ms)."""
     n, one, three = F.count("*"), F.count_if("is_top1"), F.count_if("is_top3")
-    return results.agg(n.alias("rounds"), one.alias("top1"), three.alias("top3"), percent(one, n).alias("top1_pct"), percent(three, n).alias("top3_pct"), F.round(F.coalesce(F.avg("elapsed_ms"), F.lit(0.0)), 1).alias("mean_ms"))
+    return results.agg(n.alias("rounds"), one.alias("top1"), three.alias("top3"), percent(one, n).alias("top1_pct"), percent(three, n).alias("top3_pct"), F.coalesce(mean("elapsed_ms"), F.lit(0.0)).alias("mean_ms"))
 
 
 def running(results: DataFrame, order: str, by: list[str] | None = None, hit: str = "hit", points: str | None = None) -> DataFrame:
@@ -82,7 +90,7 @@ def running(results: DataFrame, order: str, by: list[str] | None = None, hit: st
 def scoreboard(rounds: DataFrame, by: list[str]) -> DataFrame:
     """Of each match: rounds, total score, mean distance, matches and match rate, from (score_points, distance_km, is_match)."""
     n, m = F.count("*"), F.count_if("is_match")
-    return rounds.groupBy(*by).agg(n.alias("rounds"), F.sum("score_points").alias("total_score"), F.round(F.avg("distance_km"), 1).alias("mean_km"), m.alias("matches"), percent(m, n, 0).alias("match_pct"))
+    return rounds.groupBy(*by).agg(n.alias("rounds"), F.sum("score_points").alias("total_score"), mean("distance_km").alias("mean_km"), m.alias("matches"), percent(m, n, 0).alias("match_pct"))
 
 
 def live_round(rounds: DataFrame, metres: str = "distance_m") -> DataFrame:

@@ -41,3 +41,14 @@ def test_entry_without_optional_parts(tmp_path):
     subprocess.run(["rm", "-rf", f"{tmp_path}/clueframe/llm"], check=True)
     code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql() and not any(q.startswith('op') for q in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_half_way_means_go_up_in_any_order(spark):
+    from clueframe.operators import evaluation
+
+    values = {1: [54.3, 54.4] * 2000, 2: [29.3, 29.4] * 3000, 3: [None], 4: [float("inf"), 1.0], 5: [1e25, 1.0], 6: [0.1234567891234]}
+    for order in (1, -1):
+        rows = [(u, 1, x, True) for u, xs in values.items() for x in xs][::order]
+        table = spark.createDataFrame(rows, "user_id int, score_points int, distance_km double, is_match boolean")
+        got = {r.user_id: r.mean_km for r in evaluation.scoreboard(table.coalesce(1), ["user_id"]).collect()}
+        assert got == {1: 54.4, 2: 29.4, 3: None, 4: float("inf"), 5: 5e24, 6: 0.1}
