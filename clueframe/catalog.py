@@ -237,7 +237,7 @@ x AS (SELECT obs_id, code, CASE WHEN obs_id % 11 = 0 THEN CASE WHEN code = 'TW'
   WHEN obs_id % 13 = 0 THEN CASE WHEN code = 'KE' THEN score + 450 WHEN code IN ('UG', 'TZ') THEN score + 30 ELSE score * 0.05 END ELSE score END AS score FROM b), {_top_sql(12.0)}""")
 def evidence_score_softmax(spark, d):
     pool = dual_view.candidates(dual_view.code_table(spark))
-    return dual_view.score_dual_view(event_observations(spark, d), pool).select("obs_id", "rank", "code", "score", "confidence")
+    return dual_view.score_dual_view(event_observations(spark, d), pool, reread=True).select("obs_id", "rank", "code", "score", "confidence")
 
 
 _FLAGS = [f for f in "sun_south sun_north sun_over sun_low own_snorkel red_hood red_soil yellow white concrete arid lush unpaved red_car snorkel tape yellow_center edges curbs sign mediterranean temperate tropical gutter outback sandstone panels poles southern_africa southern_road".split()]

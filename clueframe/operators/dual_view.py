@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import values as v
-from ..plans.rules import Arm, pooled, ranked_pool
+from ..plans.rules import Arm, level, pooled, ranked_pool
 from .joins import dealt
-from .ranking import unrolled
+from .ranking import once_each, unrolled
 
 TEMPERATURE = 12.0
 FALLBACK = ("US", 1.0)
@@ -103,10 +103,14 @@ def _hardware(score: str) -> str:
     return f"aggregate(s.hardware, {score}, (acc, h) -> CASE {' '.join(cases)} ELSE acc END)"
 
 
-def score_dual_view(observations: DataFrame, profiles: DataFrame, key: str = "obs_id") -> DataFrame:
-    """Per observation: the five best candidates (key, rank, code, title, score, confidence, reasons, lat, lng)."""
+def score_dual_view(observations: DataFrame, profiles: DataFrame, key: str = "obs_id", reread: bool = False) -> DataFrame:
+    """Per observation: the five best candidates (key, rank, code, title, score, confidence, reasons, lat, lng).
+
+    With ``reread``, for observations that cost little to read again, those that the rules can't tell apart are scored once (``once_each``).
+    """
     text = lambda c, d: F.coalesce(c, F.lit(d)).alias(c)
-    seen = observations.select(
+    metrics = {"red_soil_pct": 0.0, "horizon_std": 20.0}
+    seen = observations.withColumns({m: F.coalesce(F.col(m).cast("double"), F.lit(d)) for m, d in metrics.items()}).select(
         key,
         F.struct(
             text("hemisphere", "NEUTRAL"),
@@ -114,16 +118,20 @@ def score_dual_view(observations: DataFrame, profiles: DataFrame, key: str = "ob
             text("road_type", "asphalt"),
             text("road_lines", "none"),
             text("biome", "temperate"),
-            F.coalesce("hardware", F.array().cast("array<string>")).alias("hardware"),
-            F.coalesce("red_soil_pct", F.lit(0.0)).alias("red_soil_pct"),
-            F.coalesce("horizon_std", F.lit(20.0)).alias("horizon_std"),
+            F.filter(F.coalesce("hardware", F.array().cast("array<string>")), lambda h: h.isin([n for n, _, _ in HARDWARE])).alias("hardware"),
+            *(F.expr(level(CHAINS, m)).alias(m) for m in metrics),
         ).alias("s"),
     )
+    best = lambda rows, key: _best(rows, profiles, key)
+    return once_each(seen, key, best) if reread else best(dealt(seen), key)
+
+
+def _best(seen: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
     where = """(s.driving_side NOT IN ('LEFT', 'RIGHT') OR lower(s.driving_side) = c.driving_side)
         AND NOT (s.hemisphere = 'NORTHERN' AND c.hemisphere = 'south') AND NOT (s.hemisphere = 'SOUTHERN' AND c.hemisphere = 'north')"""
     exclusive = ", ".join(f"IF(array_contains(s.hardware, '{n}') AND c.code = '{own}', 'hardware seen here only: {n}', NULL)" for n, own, _ in reversed(HARDWARE))
     why = lambda listed: f"concat(array_compact(array({exclusive})), {listed})"
-    rows = dealt(seen).crossJoin(F.broadcast(pooled(profiles)))
+    rows = seen.crossJoin(F.broadcast(pooled(profiles)))
     rows = rows.select(key, ranked_pool(CHAINS, "10D", where=where, then=_hardware, why=why).alias("best"))
     lat, lng = v.CENTERS[FALLBACK[0]]
     place = "c struct<title: string, lat: double, lng: double>"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import dealt
+
+#: Distinct signatures up to which results are broadcast: one takes about two kilobytes.
+SIGNATURES = 30_000
+
 
 def top_k(rows: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark keeps k rows a task and group before it shuffles."""
@@ -29,6 +34,21 @@ def unrolled(rows: DataFrame, key: str, best: str, temperature: float, fields: M
     return each.select(key, "rank", F.col("b.code").alias("code"), (F.lit(0.0) - F.col("b.worse")).alias("score"), "confidence", *(c.alias(n) for n, c in fields.items()))
 
 
+def once_each(rows: DataFrame, key: str, score: Callable[[DataFrame, str], DataFrame], limit: int = SIGNATURES) -> DataFrame:
+    """``score(rows, key)`` of rows (key, s), whose result (key, rank, ...) follows from ``s`` alone, worked out once for each distinct ``s``.
+
+    The rows are read three times: to count signatures, to list them, and to look each row's result up.  Where there
+    are more than ``limit`` of them, by estimate, each row is scored by itself, as it is in a stream.
+    """
+    if rows.isStreaming or rows.agg(F.approx_count_distinct(F.xxhash64("s"))).first()[0] > limit:
+        return score(dealt(rows), key)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # Signatures are few bytes and long work: without a number of partitions, Spark would merge them into one.
+    found = score(rows.select("s").distinct().repartition(4 * cores), "s")
+    found = found.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(*(c for c in found.columns if c != "s")))).alias("__best"))
+    return dealt(rows).join(F.broadcast(found), "s").select(key, F.inline("__best"))
+
+
 def first_of_each(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row of each key."""
     return top_k(rows, key, [F.asc(o) for o in order], 1, "__n").drop("__n")

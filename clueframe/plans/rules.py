@@ -38,6 +38,15 @@ def arm_number(arms: Sequence[Arm]) -> str:
     return "CASE " + " ".join(f"WHEN {a.condition()} THEN {i}" for i, a in enumerate(arms, 1)) + " ELSE 0 END"
 
 
+def level(chains: Chains, name: str) -> str:
+    """SQL of a value that stands for a metric of ``s`` in all comparisons of the chains: one for each number it is compared with, and for each gap."""
+    at = sorted({float(n) for arms in chains.values() for a in arms for n in re.findall(rf"s\.{name} *[<>=]+ *(-?[\d.]+)", a.when)})
+    if not at:
+        return "0D"
+    gaps = [at[0] - 1, *((a + b) / 2 for a, b in zip(at, at[1:]))]
+    return "CASE " + " ".join(f"WHEN {name} < {t}D THEN {g}D WHEN {name} = {t}D THEN {t}D" for t, g in zip(at, gaps)) + f" ELSE {at[-1] + 1}D END"
+
+
 def _of_candidate(sql: str) -> str:
     """The expression with the candidate as a field of ``x``."""
     return re.sub(r"(?<![\w.])c\.", "x.c.", sql)

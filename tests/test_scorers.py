@@ -74,3 +74,18 @@ def test_clue_points(spark, kb):
     assert rows[4, "TH"].score == pytest.approx((1 + 0.6 * 1.5 + 20 + 20 + 25) * 0.02 * 0.3) if (4, "TH") in rows else True
     # BR: right +12, red soil 20 * 2, yellow 12 * 2, high sun 20, outside Asia 0.15
     assert rows[4, "BR"].score == pytest.approx((1 + 0.8 * 1.5 + 12 + 40 + 24 + 20) * 0.15)
+
+
+def test_like_observations_are_scored_once(spark, profiles, monkeypatch):
+    from clueframe.operators import dual_view
+
+    asked = []
+    plain = dual_view._best
+    monkeypatch.setattr(dual_view, "_best", lambda rows, pool, key: asked.append((key, rows.count())) or plain(rows, pool, key))
+    soil = [None, float("nan"), -1.0, 0.0, 1.9, 2.0, 5.0, 9.9, 10.0, 12.0, 15.0, 15.1, 99.0]
+    rows = [(i, ["SOUTHERN", "odd", None][i % 3], "LEFT", None, "none", ["steppe", "temperate"][i % 2], [["kenya_snorkel", "x"], None][i // 78 % 2], soil[i % 13], [13.9, 14.0, 20.0][i // 6 % 3]) for i in range(390)]
+    obs = spark.createDataFrame(rows, OBS)
+    key = lambda df: sorted(map(str, df.collect()))
+    each = key(score_dual_view(obs, profiles))
+    assert key(score_dual_view(obs, profiles, reread=True)) == each
+    assert [k for k, _ in asked] == ["obs_id", "s"] and asked[0][1] == 390 and asked[1][1] <= 7 * 3 * 3 * 2 * 2
