@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.text import any_contains, hits, normalize, whole_word, words_longer
 from ..plans import values as v
 from ..plans.rules import Arm, pooled, ranked_pool
-from .joins import dealt, small
-from .ranking import unrolled
+from .joins import small
+from .ranking import once_each, unrolled
 
 TEMPERATURE = 8.0
 PARAMS = "driving_side string, car_meta string, red_soil_pct double, road_sign string, hemisphere_deduction string"
@@ -318,8 +318,12 @@ _NO_TEXTS = "CAST(array() AS ARRAY<STRING>)"
 
 def score_flags(seen: DataFrame, pool: DataFrame, key: str = "obs_id") -> DataFrame:
     """The five best candidates of each row (key, s) by the rules alone: key, rank, code, score, confidence."""
-    rows = dealt(seen.select(key, "s")).crossJoin(F.broadcast(pooled(pool)))
-    return unrolled(rows.select(key, ranked_pool(CHAINS, _BASE, why=None).alias("best")), key, "best", TEMPERATURE, {})
+
+    def best(rows, key):
+        rows = rows.crossJoin(F.broadcast(pooled(pool)))
+        return unrolled(rows.select(key, ranked_pool(CHAINS, _BASE, why=None).alias("best")), key, "best", TEMPERATURE, {})
+
+    return once_each(seen.select(key, "s"), key, best)
 
 
 def score_clues(observations: DataFrame, countries: DataFrame, official: DataFrame, key: str = "obs_id") -> DataFrame:

@@ -89,3 +89,23 @@ def test_like_observations_are_scored_once(spark, profiles, monkeypatch):
     each = key(score_dual_view(obs, profiles))
     assert key(score_dual_view(obs, profiles, reread=True)) == each
     assert [k for k, _ in asked] == ["obs_id", "s"] and asked[0][1] == 390 and asked[1][1] <= 7 * 3 * 3 * 2 * 2
+
+
+def test_like_flags_are_scored_once(spark, kb, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from clueframe import catalog
+    from clueframe.operators import clue_scorer
+
+    asked = []
+    plain = clue_scorer.unrolled
+    monkeypatch.setattr(clue_scorer, "unrolled", lambda rows, *a: asked.append(rows.count()) or plain(rows, *a))
+    i = F.col("id")
+    flags = F.struct(F.when(i % 3 == 0, "left").alias("side"), *(F.when(i % 2 == 0, i % 4 == 0).otherwise(i % 5 == 0).alias(f) for f in catalog._FLAGS))
+    seen = spark.range(600).select(i.alias("obs_id"), flags.alias("s"))
+    pool = clue_scorer.candidate_table(kb[0]).drop("all_text")
+    key = lambda df: sorted(map(str, df.collect()))
+    got = key(clue_scorer.score_flags(seen, pool))
+    assert len(got) == 3000 and asked == [4]
+    monkeypatch.setattr(clue_scorer, "once_each", lambda rows, key, score: score(rows, key))
+    assert key(clue_scorer.score_flags(seen, pool)) == got
