@@ -9,13 +9,15 @@ few next to the observations, and joined back by text.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_contains, hits, normalize, whole_word, words_longer
+from ..functions.text import any_contains, normalize, whole_word, words_longer
 from ..plans import values as v
 from ..plans.rules import Arm, pooled, ranked_pool
-from .joins import small
+from .joins import small, spread
 from .ranking import once_each, unrolled
 
 TEMPERATURE = 8.0
@@ -260,22 +262,53 @@ def official_points(texts: DataFrame, official: DataFrame) -> DataFrame:
     o = official.select("code", "id", "title", "kind", normalize(F.col("id")).alias("i"), normalize(F.col("title")).alias("t"))
     words = F.slice(words_longer(F.col("t"), 4, v.STOP_WORDS), 1, 2)
     o = o.withColumn("w", words).withColumn("generic", F.col("t").isin(list(v.GENERIC_TITLES)))
+    # What doesn't depend on both sides is worked out before they meet, and without a lambda, which would be interpreted for each pair.
+    o = o.withColumns({"w1": F.get("w", F.lit(0)), "w2": F.get("w", F.lit(1)), "t_long": F.length("t") > 6}).drop("w")
     u, i, t = F.col("clue"), F.col("i"), F.col("t")
     by_id = (i != "") & ((i == u) | F.contains(u, i) | ((F.length(u) > 6) & F.contains(i, u)))
     by_title = (t != "") & (t == u)
-    by_part = (t != "") & ~F.col("generic") & (F.contains(u, t) | ((F.length(t) > 6) & F.contains(t, u)))
-    by_words = (F.size("w") >= 2) & (hits(F.col("w"), u) == 2)
+    by_part = (t != "") & ~F.col("generic") & (F.contains(u, t) | (F.col("t_long") & F.contains(t, u)))
+    by_words = F.contains(u, F.col("w1")) & F.contains(u, F.col("w2"))
     points = F.when(by_id, 60.0).when(by_title, F.when(F.col("generic"), 15.0).otherwise(50.0)).when(by_part, 35.0).when(by_words, 25.0)
-    asked = texts.where((u != "") & ~u.isin(list(v.UNTELLING_CLUES)))
+    asked = spread(texts).where((u != "") & ~u.isin(list(v.UNTELLING_CLUES))).withColumn("u_long", F.length("clue") > 6)
     found = asked.crossJoin(small(o)).withColumn("points", points).where("points IS NOT NULL")
     return found.select("clue", "code", "points", F.concat_ws(" ", F.lit("official clue:"), "title").alias("reason"), "id")
 
 
+WORDS_KEPT = 200_000
+
+
 def guide_points(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(raw, code, points, reason): a guide that holds a clue's text, or two of its longer words."""
-    n = hits(words_longer(F.col("raw"), 4, v.STOP_WORDS), F.col("all_text"))
-    x = texts.crossJoin(small(candidates.select("code", "all_text")))
-    x = x.select("raw", "code", F.contains("all_text", F.col("raw")).alias("whole"), n.alias("n")).where("whole OR n >= 2")
+    """(raw, code, points, reason): a guide that holds a clue's text, or two of its longer words.
+
+    Words are few next to texts: a worker looks a word up in the guides once, and then adds what it knows of a text's words.
+    Texts go as bytes, as Spark compares them.
+    """
+    guides = [(r.code, bytes(r.t)) for r in candidates.where("all_text IS NOT NULL").select("code", F.col("all_text").cast("binary").alias("t")).collect()]
+    codes = [c for c, _ in guides]
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part, out = batch.slice(at, 1000), []
+                for raw, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    n = np.zeros(len(guides), np.int32)
+                    for w in words:
+                        if w not in known:
+                            if len(known) >= WORDS_KEPT:
+                                known.clear()
+                            known[w] = np.array([w in t for _, t in guides], bool)
+                        n += known[w]
+                    whole = [raw in t for _, t in guides]
+                    out += [(raw, codes[i], whole[i], int(n[i])) for i in np.flatnonzero(whole | (n >= 2))]
+                fields = zip(*out) if out else ((),) * 4
+                kinds = (pa.binary(), pa.string(), pa.bool_(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(f, k) for f, k in zip(fields, kinds)], names=["raw", "code", "whole", "n"])
+
+    words = F.transform(words_longer(F.col("raw"), 4, v.STOP_WORDS), lambda w: w.cast("binary"))
+    x = spread(texts.where("raw IS NOT NULL").select(F.col("raw").cast("binary").alias("raw"), words.alias("words"))).mapInArrow(run, "raw binary, code string, whole boolean, n int")
+    x = x.withColumn("raw", F.col("raw").cast("string"))
     return x.select("raw", "code", F.when(F.col("whole"), 8.0).otherwise(F.col("n") * 2.5).alias("points"), F.when(F.col("whole"), F.col("raw")).otherwise(F.format_string("guide text (%d terms)", "n")).alias("reason"))
 
 
@@ -289,7 +322,7 @@ def clue_evidence(seen: DataFrame, candidates: DataFrame, official: DataFrame, k
     clues = seen.select(key, F.posexplode("explicit").alias("pos", "text")).select(key, "pos", F.lower("text").alias("raw"), normalize(F.col("text")).alias("clue"))
     distinct = clues.select("clue").distinct()
     by_official = clues.join(official_points(distinct, official), "clue").select(key, "code", "points", F.lit(False).alias("named"), "reason", F.lit(1).alias("part"), "id")
-    names = distinct.join(F.broadcast(_demonyms(spark)), F.expr(r"clue rlike concat('\\b', demonym, '\\b')"))
+    names = spread(distinct).join(F.broadcast(_demonyms(spark)), F.expr(r"contains(clue, demonym) AND clue rlike concat('\\b', demonym, '\\b')"))
     by_name = clues.join(names, "clue").select(key, "code", "demonym").distinct()
     by_name = by_name.select(key, "code", F.lit(120.0).alias("points"), F.lit(True).alias("named"), F.concat(F.lit("named: "), "demonym").alias("reason"), F.lit(2).alias("part"), F.lit(None).cast("string").alias("id"))
     # Only a hyphenated or a lone code names a country: ordinary words ("in ", "no ") don't.

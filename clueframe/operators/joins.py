@@ -42,3 +42,8 @@ def dealt(rows: DataFrame) -> DataFrame:
     """``rows``, dealt to all cores if they come in fewer partitions: for rows that are small next to what is computed from them."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt to all cores whatever their size: after a shuffle of few bytes Spark would leave long work to one task."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)

@@ -109,3 +109,22 @@ def test_like_flags_are_scored_once(spark, kb, monkeypatch):
     assert len(got) == 3000 and asked == [4]
     monkeypatch.setattr(clue_scorer, "once_each", lambda rows, key, score: score(rows, key))
     assert key(clue_scorer.score_flags(seen, pool)) == got
+
+
+def test_points_of_texts(spark, monkeypatch):
+    from clueframe.operators import clue_scorer
+
+    asked = []
+    plain = clue_scorer.words_longer
+    monkeypatch.setattr(clue_scorer, "words_longer", lambda c, *a: asked.append(str(c)) or plain(c, *a))
+    monkeypatch.setattr(clue_scorer, "WORDS_KEPT", 2)
+    guides = spark.createDataFrame([("KE", "snorkel and pickup trucks, Ünïcode señales"), ("GH", "black tape, snorkel"), ("BR", None), ("US", "pickup")], "code string, all_text string")
+    texts = ["snorkel pickup", "snorkel snorkel other", "black tape", "", None, "señales snorkel", "nothing"]
+    found = clue_scorer.guide_points(spark.createDataFrame([(t,) for t in texts], "raw string"), guides)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and len(asked) == 1
+    got = sorted((r.raw, r.code, r.points, r.reason) for r in found.collect())
+    two = "guide text (2 terms)"
+    assert got == sorted([("snorkel pickup", "KE", 5.0, two), ("snorkel snorkel other", "KE", 5.0, two), ("snorkel snorkel other", "GH", 5.0, two), ("black tape", "GH", 8.0, "black tape"), *(("", c, 8.0, "") for c in ("KE", "GH", "US")), ("señales snorkel", "KE", 5.0, two)])
+    official = spark.createDataFrame([("KE", "ke-1", "Wooden poles painted", None, "x"), ("GH", "gh-1", "Short", None, "x")], "code string, id string, title string, description string, kind string")
+    texts = spark.createDataFrame([(t,) for t in ("wooden poles painted white", "poles of wooden sort", "ke 1", "wooden", "short", "sho", "en poles")], "clue string")
+    assert sorted((r.clue, r.points) for r in clue_scorer.official_points(texts, official).collect()) == [("en poles", 35.0), ("ke 1", 60.0), ("poles of wooden sort", 25.0), ("short", 50.0), ("wooden", 35.0), ("wooden poles painted white", 35.0)]
